@@ -46,12 +46,25 @@ WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
 """
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.url_filter import filter_urls, label_by_host
+
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, label_by_host(pages))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_groups
 
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_model import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.tokenfile import token_files_round_trip
 
@@ -67,11 +80,20 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_simhash": op4_simhash,
+    "op5_quality_model": op5_quality_model,
     "op7_token_files": op7_token_files,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
