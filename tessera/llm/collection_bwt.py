@@ -25,16 +25,15 @@ class _Rows:
     """The columns of the transform, in memory or in one file per column and
     round; the files of the last round are dropped when the next is written."""
 
-    KINDS = {"symbol": np.uint16, "prefix": np.uint8, "string": np.int32, "length": np.int32}
-
-    def __init__(self, external: bool) -> None:
+    def __init__(self, external: bool, wide: bool) -> None:
+        self.kinds = {"symbol": np.uint16 if wide else np.uint8, "prefix": np.uint8, "string": np.int32, "length": np.int32}
         self.folder = tempfile.mkdtemp(prefix="bwt-") if external else None
         self.round = 1  # the first round is 0
 
     def new(self, name: str, n: int) -> np.ndarray:
         if not self.folder:
-            return np.empty(n, self.KINDS[name])
-        return np.memmap(f"{self.folder}/{name}-{self.round % 2}", self.KINDS[name], "w+", shape=(n,))
+            return np.empty(n, self.kinds[name])
+        return np.memmap(f"{self.folder}/{name}-{self.round % 2}", self.kinds[name], "w+", shape=(n,))
 
     def close(self) -> None:
         if self.folder:
@@ -58,10 +57,11 @@ def build(strings: list[bytes], cap: int, memory_rows: int = MEMORY_ROWS) -> dic
     sizes = np.array([len(s) for s in strings], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     text = np.frombuffer(b"".join(strings), np.uint8)
-    store = _Rows(int(starts[-1]) + m > memory_rows)
+    wide = len(text) > 0 and int(text.max()) == 255  # never in UTF-8
+    store = _Rows(int(starts[-1]) + m > memory_rows, wide)
     try:
-        symbol, prefix, string, length = (store.new(k, m) for k in _Rows.KINDS)
-        column = lambda which, j: np.where(sizes[which] > j, text[np.maximum(starts[which + 1] - 1 - j, 0)].astype(np.uint16) + 1 if len(text) else 0, END)
+        symbol, prefix, string, length = (store.new(k, m) for k in store.kinds)
+        column = lambda which, j: np.where(sizes[which] > j, text[np.maximum(starts[which + 1] - 1 - j, 0)].astype(store.kinds["symbol"]) + 1 if len(text) else 0, END)
         everyone = np.arange(m)
         symbol[:], prefix[:], string[:], length[:] = column(everyone, 0) if m else 0, 0, everyone, 0
         newest = everyone[sizes > 0]  # row of the longest suffix of each string that goes on, in order

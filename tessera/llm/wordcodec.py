@@ -13,14 +13,15 @@ import base64
 import json
 import re
 import string
+import struct
 
-import numpy as np
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 #: Pieces kept by one worker before the table is emptied (about 200 bytes each).
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 700_000
 #: White space outside ASCII, as UTF-8 (Unicode's White_Space).
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+WIDE_EDGE = re.compile(b"^[ \t\n\r\x0b\x0c]?(?:" + WIDE_SPACE.pattern + b")|(?:" + WIDE_SPACE.pattern + b")$")
 #: A word with the space before it, or a run of white space less its last character.
 SPACED = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 MARKS = "".join(c for c in string.punctuation if c != "'")
@@ -48,7 +49,7 @@ def as_bytes_chars(data: bytes) -> str:
 
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def tokenizer_from_ranks(path: str, pattern: str) -> Tokenizer:
@@ -84,6 +85,10 @@ def tokenizer_from_ranks(path: str, pattern: str) -> Tokenizer:
     return out
 
 
+class Unsafe(Exception):
+    """White space beside white space: the pieces can't be told apart there."""
+
+
 class _Pieces(dict):
     def __init__(self, encode) -> None:
         super().__init__()
@@ -108,30 +113,51 @@ class WordCodec:
     def __init__(self, tokenizer: Tokenizer, style: str) -> None:
         tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.tokenizer, self.model, self.style = tokenizer, tokenizer.model, style
-        self.pieces, self.parts = _Pieces(self._piece), _Pieces(self._part)
+        self.pieces, self.parts, self.after = _Pieces(self._piece), _Pieces(self._part), _Pieces(self._after)
 
     def whole(self, data: bytes) -> bytes:
         return packed(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids)
 
     def _part(self, part: str) -> bytes:
-        return packed([t.id for t in self.model.tokenize(as_bytes_chars(part.encode()))])
+        chars = part.replace(" ", BYTE_CHARS[32]) if part.isascii() else as_bytes_chars(part.encode())
+        return packed([t.id for t in self.model.tokenize(chars)])
 
     def _piece(self, piece: bytes) -> bytes:
+        """A piece between sure cuts, without ASCII white space but at its ends."""
         text = piece.decode()
         body = text.rstrip(MARKS)
         word = body[1:] if body[:1] == " " else body
-        if not word.isalpha() or max(word) >= "ɐ" or "İ" in word:
+        if not word.isalpha() or not word.isascii() and (max(word) >= "ɐ" or "İ" in word):
+            if self.style == "spaced" and WIDE_EDGE.search(piece):
+                raise Unsafe
             return self.whole(piece)
         marks = text[len(body) :]
         return self.parts[body if self.style == "spaced" else body.lower()] + (self.parts[marks] if marks else b"")
 
+    def _after(self, word: bytes) -> bytes:
+        """A space and what follows it up to the next space."""
+        lines = word.split()
+        if not lines or not word.startswith(lines[0]) or not word.endswith(lines[-1]):
+            raise Unsafe
+        if len(lines) > 1:
+            if len(word) - sum(map(len, lines)) >= len(lines):
+                raise Unsafe
+            return b"".join(map(self.pieces.__getitem__, SPACED.findall(b" " + word)))
+        return self._piece(b" " + word)
+
     def encode(self, data: bytes) -> bytes:
         """The ids of one whole text, packed."""
         if self.style == "words":
             return b"".join(map(self.pieces.__getitem__, data.split()))
-        if self.style == "whole" or (not data.isascii() and WIDE_SPACE.search(data)):
+        if self.style == "whole":
             return self.whole(data)
-        return b"".join(map(self.pieces.__getitem__, SPACED.findall(data)))
+        try:
+            first, *others = data.split(b" ")
+            if first.split() != [first]:
+                raise Unsafe
+            return self.pieces[first] + b"".join(map(self.after.__getitem__, others))
+        except Unsafe:
+            return self.whole(data) if WIDE_SPACE.search(data) else b"".join(map(self.pieces.__getitem__, SPACED.findall(data)))
 
     def offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids with the characters of ``text`` that each covers; a character
