@@ -55,6 +55,7 @@ def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = np.maximum(1, counts.sum(1))
     out = np.zeros((total, WIDTH), np.float32)
     out[:, :256] = np.sqrt(counts / size[:, None])
+    out[:, 257] = 1
     blank = kind < 2
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     if len(starts):

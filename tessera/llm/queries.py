@@ -65,6 +65,26 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.common import scratch_path
+    from tessera.llm.token_rollup import maintained_totals
+
+    return maintained_totals(table(spark, sf_dir, "documents"), scratch_path(spark, "rollup"))
+
+
+OP6_SQL = r"""
+SELECT source, lang,
+       CASE WHEN lang = 'de' THEN 'pieces-2' ELSE 'words-1' END AS version,
+       count(*) AS n_docs,
+       CAST(sum(CASE WHEN lang = 'de'
+                     THEN len(regexp_extract_all(coalesce(text, ''), '[^ 	-]{1,4}'))
+                     ELSE len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) END) AS BIGINT) AS n_tokens
+FROM documents
+WHERE source IS DISTINCT FROM 'src3'
+GROUP BY ALL
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.tokenfile import token_files_round_trip
 
@@ -99,9 +119,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_simhash": op4_simhash,
     "op5_quality_model": op5_quality_model,
+    "op6_token_rollup": op6_token_rollup,
     "op7_token_files": op7_token_files,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_token_rollup": OP6_SQL}

@@ -2,7 +2,7 @@
 
 Two fingerprints within ``radius`` bits agree under at least one of
 2**(radius+1) - 1 masks: every bit gets a vector of radius+1 bits, a mask v
-keeps the bits whose vector is orthogonal to v, and for any ``radius`` bits
+drops the bits whose vector is orthogonal to v, and for any ``radius`` bits
 there is a v other than 0 orthogonal to all their vectors. So no link is
 missed, and none is invented, as members of a bucket are compared in full.
 """
@@ -24,7 +24,7 @@ def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     turn, so every mask keeps close to half of the bits."""
     size = (1 << (radius + 1)) - 1
     vectors = [1 + i % size for i in range(bits)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2 == 0) for v in range(1, size + 1)]
+    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, size + 1)]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +189,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group."""
     groups = near_groups(docs, shingle, radius, id_col, text_col)
     kept = groups.where("doc_id = component_id").select(F.col("component_id").alias("_keep_id")).distinct()
