@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.plans.scratch import kept
+
 
 def reverse(edges: DataFrame) -> DataFrame:
     """file, importers: who imports a file, sorted, each once."""
@@ -18,21 +18,6 @@ def reverse_pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("file"), F.col("src").alias("importer"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that all executors share, or, where no
-    such folder is set, in one that the session makes."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-graph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """start, file, hop: all files that import ``start`` directly or through
     others, with the least number of steps; the start itself is left out.
@@ -41,12 +26,12 @@ def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> Data
     every round is written, so plans stay short and a lost executor costs one
     round. Safe on cycles; ends with the frontier.
     """
-    pairs = _kept(edges.select("src", "dst").distinct())
-    frontier = _kept(starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("file")))
+    pairs = kept(edges.select("src", "dst").distinct())
+    frontier = kept(starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("file")))
     rounds, seen = [], frontier
     for hop in range(1, max_rounds + 1):
         reached = frontier.join(pairs, frontier["file"] == pairs["dst"]).select("start", F.col("src").alias("file")).distinct()
-        frontier = _kept(reached.join(seen, ["start", "file"], "left_anti"))
+        frontier = kept(reached.join(seen, ["start", "file"], "left_anti"))
         if frontier.isEmpty():
             break
         rounds.append(frontier.withColumn("hop", F.lit(hop)))

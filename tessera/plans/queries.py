@@ -374,3 +374,36 @@ def reanchor_greedy(c: Corpus) -> DataFrame:
     old = c.nodes.select(F.col("file").cast("string").alias("file"), F.concat(F.lit("n"), (F.col("ord") % 2).cast("string")).alias("name"), "node_id", "start_line")
     new = c.nodes.where("ord > 1").select(F.col("file").cast("string").alias("file"), F.concat(F.lit("n"), (F.col("ord") % 2).cast("string")).alias("name"), (F.col("start_line") + 1).alias("start_line"), (F.col("end_line") + 1).alias("end_line"))
     return intervals.reanchor(old, new)
+
+
+#: Literal sources for the queries that need program texts.
+SOURCES = {
+    "app/main.py": "import os\nfrom app import util\n\n\ndef run(a, b: int = 1) -> int:\n    '''Run.'''\n    return util.add(a, b)\n\n\nclass Job:\n    def start(self, when):\n        return run(when)\n",
+    "app/util.py": "def add(a, b):\n    return a + b\n",
+    "web/view.ts": "export class View {\n  private n: number = 1;\n  show(x: string): void {\n    console.log(x);\n  }\n}\n",
+}
+
+
+@query
+def python_structure(c: Corpus) -> DataFrame:
+    from tessera.operators import structure
+
+    files = c.spark.createDataFrame(list(SOURCES.items()), "path string, text string")
+    return structure.extract(files)
+
+
+@query
+def edit_batch(c: Corpus) -> DataFrame:
+    import json
+
+    from tessera.operators import edit
+
+    files = c.spark.createDataFrame([(b, p, t) for b in (1, 2, 3) for p, t in SOURCES.items()], "batch int, path string, text string")
+    ops = [
+        (1, 0, {"action": "add_parameter", "path": "app/util.py", "name": "add", "value": "c=0"}),
+        (1, 1, {"action": "set_body", "path": "app/util.py", "name": "add", "value": "return a + b + c"}),
+        (1, 2, {"action": "insert_member", "path": "web/view.ts", "name": "View", "value": "size = 2;"}),
+        (2, 0, {"action": "replace_text", "path": "app/main.py", "name": "run", "oldText": "add(a, b)", "newText": "add(b, a"}),
+        (3, 0, {"action": "replace_text", "path": "app/main.py", "name": "nobody", "oldText": "x", "newText": "y"}),
+    ]
+    return edit.apply_batches(files, c.spark.createDataFrame([(b, i, json.dumps(a)) for b, i, a in ops], "batch int, idx int, action string"))
