@@ -213,7 +213,8 @@ class _Scanner:
             i = next(k for k in range(len(rules)) if m.group(f"r{k}") is not None)
             role, kind, _ = rules[i]
             name = m.group(f"n{i}")
-            if name in _CONTROL or m.group(0).split(None, 1)[0] in _CONTROL - {"function"}:
+            first = m.group(0).split(None, 1)[0]
+            if name in _CONTROL or first in _CONTROL - {"function"} and (first, self.language) != ("case", "swift"):
                 at = max(m.end(), at + 1)
                 continue
             owner = m.groupdict().get(f"o{i}")
