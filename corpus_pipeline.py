@@ -27,7 +27,8 @@ def dedup_exactly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_nearly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by SimHash, the document with the smallest id."""
+    """Of each group of similar documents, the one with the smallest id. SimHash
+    finds the pairs; five-word shingles with a similarity of 0.8 confirm them."""
     return drop_near_copies(docs)
 
 

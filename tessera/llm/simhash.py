@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import remove_path, salted_lookup, scratch_path, text_or_empty
+from tessera.llm.common import remove_path, salted_lookup, scratch_path, text_or_empty, written
 
 SEED = 42
 RADIUS = 3
@@ -27,13 +27,13 @@ def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, size + 1)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64-bit fingerprint as a signed long).
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """doc_id, fps: the 64-bit fingerprint of each seed, as signed longs.
 
     A-Z are lower-cased; words are runs of characters outside [\\x20\\x09-\\x0D];
     every shingle of ``shingle`` words counts, repeats included; a shorter text
     is one shingle; a text without words (null, empty) has fingerprint 0. A bit
-    is 1 if more than half of the shingles' XXH64 (seed 42) have it.
+    is 1 if more than half of the shingles' XXH64 have it.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -46,29 +46,31 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
         digest = xxhash.xxh64_intdigest
 
-        def fingerprint(data: bytes) -> int:
+        def fingerprint(data: bytes) -> list[int]:
             words = data.translate(lower).split()
             if not words:
-                return 0
+                return [0] * len(seeds)
             ends, at = [], -1
             for w in words:
                 at += len(w) + 1
                 ends.append(at)
             line = b" ".join(words)
             starts = [0, *(e + 1 for e in ends[:-1])]
-            ones, n = np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
+            ones, n = np.zeros((len(seeds), 64), np.int64), max(1, len(words) - shingle + 1)
             last = ends[min(shingle, len(words)) - 1 :]
             for k in range(0, n, 1 << 16):  # bounds the bits held at once for a very long text
-                h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[k : k + (1 << 16)], last[k : k + (1 << 16)])], "<u8")
-                ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+                parts = [line[a:b] for a, b in zip(starts[k : k + (1 << 16)], last[k : k + (1 << 16)])]
+                for i, seed in enumerate(seeds):
+                    h = np.array([digest(x, seed) for x in parts], "<u8")
+                    ones[i] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
         for batch in batches:
             data = byte_values(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x) for x in data], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x) for x in data], pa.list_(pa.int64()))], ["doc_id", "fps"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -77,12 +79,14 @@ def distance(a: Column, b: Column) -> Column:
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that connect every pair
-    within ``radius`` bits: each bucket gives a star per component, never all
-    its pairs. ``fps``: one column fp, distinct.
+    within ``radius`` bits: each bucket gives a spanning tree per component,
+    never all its pairs, and every pair given is within the radius. ``fps``:
+    one column fp, distinct.
 
     A bucket's members are read in a stream, 8 bytes each. From one member,
     all others not yet reached are compared at once; members reached are taken
-    out, so a large bucket of near copies needs a few such sweeps.
+    out, so a large bucket of near copies needs a few such sweeps. The member
+    to begin with differs from table to table.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
     tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for k, m in enumerate(signed)))
@@ -91,23 +95,24 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        def stars(members):
+        def trees(members):
             left, found = members, []
             while len(left) > 1:
-                root, left = left[0], left[1:]
-                queue = [root]
+                queue, left = [left[0]], left[1:]
                 while queue and len(left):
-                    near = np.bitwise_count(left ^ queue.pop()) <= radius
+                    at = queue.pop(0)
+                    near = np.bitwise_count(left ^ at) <= radius
                     if near.any():
                         new = left[near]
                         left = left[~near]
                         queue.extend(new)
-                        found.append(np.stack([np.full(len(new), root, np.uint64), new]))
+                        found.append((np.full(len(new), at, np.uint64), new))
             return found
 
-        def flush(pieces):
+        def flush(pieces, table):
             members = np.unique(np.concatenate(pieces))
-            for a, b in stars(members) if len(members) > 1 else ():
+            members = members[np.argsort(members * np.uint64(2 * int(table) + 0x9E3779B97F4A7C15))]
+            for a, b in trees(members) if len(members) > 1 else ():
                 a, b = a.view(np.int64), b.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -122,11 +127,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 if i or (t[a], bucket[a]) != key:
                     if len(held) > 1 or held and len(held[0]) > 1:
-                        yield from flush(held)
+                        yield from flush(held, key[0])
                     held, key = [], (t[a], bucket[a])
                 held.append(fp[a:b])
         if len(held) > 1 or held and len(held[0]) > 1:
-            yield from flush(held)
+            yield from flush(held, key[0])
 
     rows = fps.select("fp", F.explode(tables).alias("x")).select("x.t", "x.bucket", "fp")
     dealt = rows.repartition("t", "bucket").sortWithinPartitions("t", "bucket")
@@ -155,7 +160,7 @@ def components(edges: DataFrame) -> DataFrame:
         return out.union(own).where("a != b").distinct()
 
     path, before = scratch_path(spark, "edges"), None
-    edges.select("a", "b").write.parquet(path)
+    edges.select("a", "b").where("a != b").write.parquet(path)
     while True:
         now = spark.read.parquet(path)
         sign = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -178,7 +183,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col:
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "fingerprints")
-    fingerprints(docs, shingle, id_col, text_col).write.parquet(path)
+    fingerprints(docs, shingle, id_col, text_col).select("doc_id", F.col("fps")[0].alias("fp")).write.parquet(path)
     rows = spark.read.schema("doc_id long, fp long").parquet(path)
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(distinct.select("fp"), radius))
@@ -189,8 +194,67 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group."""
-    groups = near_groups(docs, shingle, radius, id_col, text_col)
-    kept = groups.where("doc_id = component_id").select(F.col("component_id").alias("_keep_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == F.col("_keep_id"), "left_semi")
+#: Seeds of the word fingerprints that find candidates for ``similar_pairs``.
+SEEDS = (42, 43, 44)
+
+
+def candidates(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b (a < b): documents whose fingerprints of single words, under one of
+    the seeds, are within ``radius`` bits. A copy whose words differ by a few
+    hundredths has fingerprints that differ by two or three bits, whereas those
+    of long shingles would differ by far more."""
+    rows = written(fingerprints(docs, 1, id_col, text_col, seeds).where("doc_id is not null"), "word-fingerprints")
+    out = None
+    for k in range(len(seeds)):
+        own = rows.select("doc_id", F.col("fps")[k].alias("fp"))
+        heads = own.groupBy("fp").agg(F.min("doc_id").alias("head"))
+        same = salted_lookup(own, heads, "fp", "doc_id").where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+        near = links(heads.select("fp"), radius)
+        ids = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("_b")), "b")
+        pairs = same.unionByName(ids.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
+
+
+def shingle_hashes(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, hashes: the set of shingles of lower-cased words, hashed."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        from tessera.llm.wordcodec import byte_values
+
+        def hashes(data: bytes):
+            words = data.lower().split()
+            n = max(1, len(words) - shingle + 1) if words else 0
+            return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint64, n)).view(np.int64)
+
+        for batch in batches:
+            data = byte_values(batch.column(1))
+            for k in range(0, len(data), 500):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array([hashes(x) for x in data[k : k + 500]], pa.list_(pa.int64()))], ["doc_id", "hashes"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>")
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b: candidates whose sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``similarity`` or more, computed in full."""
+    pairs = written(candidates(docs, radius, SEEDS, id_col, text_col), "candidates")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
+    sets = written(shingle_hashes(texts, shingle), "shingles")
+    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_b")), "b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    every = F.size("_a") + F.size("_b") - shared
+    return joined.where((every == 0) | (shared >= similarity * every)).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but those of which a similar document (directly, or
+    through others) has a smaller id. Rows with a null id stay."""
+    groups = components(similar_pairs(docs, shingle, similarity, radius, id_col, text_col))
+    gone = groups.where("node != root").select(F.col("node").alias("_gone"))
+    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")

@@ -43,6 +43,11 @@ def fingerprint(text, shingle=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text, size):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
 def classes(fps, ids, radius=3):
     parent = list(range(len(fps)))
 

@@ -210,6 +210,30 @@ def test_simhash(spark, sf_dir):
     assert near_groups(docs(spark, [])).count() == 0
 
 
+def test_similar_pairs(spark):
+    import random
+
+    from tessera.llm.simhash import drop_near_copies, similar_pairs
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(100, 400))) for _ in range(60)]
+    for i in range(60):
+        w = texts[i].split()
+        for k in rng.sample(range(len(w)), len(w) // (100 if i % 2 else 8)):
+            w[k] = word()
+        texts.append(" ".join(w))
+    texts += [None, "", " ", "one two", "one  two"]
+    frame = docs(spark, texts)
+    sets = [brute.shingles(t, 5) for t in texts]
+    every = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    found = {(r["a"], r["b"]) for r in similar_pairs(frame).collect()}
+    assert found <= every and len([p for p in every - found if p[1] < 120]) <= 2
+    kept = drop_near_copies(frame)
+    assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} >= {i for i in range(60)} | {120, 123}
+    assert drop_near_copies(frame.limit(0)).count() == 0
+
+
 def test_covering_finds_every_link(spark):
     from tessera.llm.simhash import components, covering_masks, links
 
@@ -299,6 +323,16 @@ def test_quality_model(spark, sf_dir):
     assert accepted(frame, labels).columns == frame.columns
 
 
+def test_quality_model_held_out(spark, sf_dir):
+    from tessera.llm.quality_model import classify
+
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    frame, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    got = [(r["predicted"], known[r["doc_id"]]) for r in classify(frame, labels).where("held_out").collect() if r["doc_id"] in known]
+    assert np.mean([p for p, y in got if y == 1]) > 0.97 and np.mean([p for p, y in got if y == 0]) < 0.3
+
+
 def test_quality_model_reads_whole_texts():
     from tessera.llm import quality_model as m
 
