@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import remove_path, salted_lookup, scratch_path, text_or_empty, written
+from tessera.llm.common import free_shuffles, remove_path, salted_lookup, scratch_path, text_or_empty, written
 
 SEED = 42
 RADIUS = 3
@@ -85,8 +85,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A bucket's members are read in a stream, 8 bytes each. From one member,
     all others not yet reached are compared at once; members reached are taken
-    out, so a large bucket of near copies needs a few such sweeps. The member
-    to begin with differs from table to table.
+    out, so a large bucket of near copies needs a few such sweeps. The smallest
+    member begins, so that tables mostly give the same trees.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
     tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for k, m in enumerate(signed)))
@@ -109,9 +109,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                         found.append((np.full(len(new), at, np.uint64), new))
             return found
 
-        def flush(pieces, table):
+        def flush(pieces):
             members = np.unique(np.concatenate(pieces))
-            members = members[np.argsort(members * np.uint64(2 * int(table) + 0x9E3779B97F4A7C15))]
             for a, b in trees(members) if len(members) > 1 else ():
                 a, b = a.view(np.int64), b.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -127,11 +126,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 if i or (t[a], bucket[a]) != key:
                     if len(held) > 1 or held and len(held[0]) > 1:
-                        yield from flush(held, key[0])
+                        yield from flush(held)
                     held, key = [], (t[a], bucket[a])
                 held.append(fp[a:b])
         if len(held) > 1 or held and len(held[0]) > 1:
-            yield from flush(held, key[0])
+            yield from flush(held)
 
     rows = fps.select("fp", F.explode(tables).alias("x")).select("x.t", "x.bucket", "fp")
     dealt = rows.repartition("t", "bucket").sortWithinPartitions("t", "bucket")
@@ -199,10 +198,13 @@ SEEDS = (42, 43, 44)
 
 
 def candidates(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b (a < b): documents whose fingerprints of single words, under one of
-    the seeds, are within ``radius`` bits. A copy whose words differ by a few
-    hundredths has fingerprints that differ by two or three bits, whereas those
-    of long shingles would differ by far more."""
+    """a, b (a < b): documents whose fingerprints of single words are within
+    ``radius`` bits under one of the seeds, and within twice that on average.
+
+    A copy whose words differ by a few hundredths has fingerprints that differ
+    by two or three bits, whereas those of long shingles would differ by far
+    more. Texts that come near under one seed by chance don't under the others.
+    """
     rows = written(fingerprints(docs, 1, id_col, text_col, seeds).where("doc_id is not null"), "word-fingerprints")
     out = None
     for k in range(len(seeds)):
@@ -213,11 +215,16 @@ def candidates(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = S
         ids = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("_b")), "b")
         pairs = same.unionByName(ids.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
         out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+    every = rows.select("doc_id", "fps").dropDuplicates(["doc_id"])
+    joined = out.distinct().join(every.select(F.col("doc_id").alias("a"), F.col("fps").alias("_a")), "a").join(every.select(F.col("doc_id").alias("b"), F.col("fps").alias("_b")), "b")
+    apart = F.aggregate(F.zip_with("_a", "_b", distance), F.lit(0), lambda s, d: s + d)
+    return joined.where(apart <= 2 * radius * len(seeds)).select("a", "b")
 
 
 def shingle_hashes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, hashes: the set of shingles of lower-cased words, hashed."""
+    """doc_id, hashes: the set of shingles of lower-cased words, as 32-bit
+    hashes, which halve what is moved and agree by chance for one pair of
+    shingles in four thousand million."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -229,14 +236,14 @@ def shingle_hashes(docs: DataFrame, shingle: int) -> DataFrame:
         def hashes(data: bytes):
             words = data.lower().split()
             n = max(1, len(words) - shingle + 1) if words else 0
-            return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint64, n)).view(np.int64)
+            return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint32, n)).view(np.int32)
 
         for batch in batches:
             data = byte_values(batch.column(1))
             for k in range(0, len(data), 500):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array([hashes(x) for x in data[k : k + 500]], pa.list_(pa.int64()))], ["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array([hashes(x) for x in data[k : k + 500]], pa.list_(pa.int32()))], ["doc_id", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<int>")
 
 
 def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,10 +253,13 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ra
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
     sets = written(shingle_hashes(texts, shingle), "shingles")
+    free_shuffles(docs.sparkSession)
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     every = F.size("_a") + F.size("_b") - shared
-    return joined.where((every == 0) | (shared >= similarity * every)).select("a", "b")
+    similar = written(joined.where((every == 0) | (shared >= similarity * every)).select("a", "b"), "similar")
+    free_shuffles(docs.sparkSession)
+    return similar
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

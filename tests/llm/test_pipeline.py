@@ -42,3 +42,50 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     from test_operators import check_packing
 
     check_packing(rows, list(after.items()))
+
+
+def nasty(spark, first=10**6):
+    texts = [*brute.ODD, *brute.ODD, "the same words again and again " * 30, "the same words again and again " * 30, "long " * 60_000]
+    rows = [(first + i if i % 9 else None, t, None if i % 4 == 0 else "en", None if i % 5 == 0 else "src0", None if i % 3 == 0 else 7, "x", 1, None) for i, t in enumerate(texts)]
+    rows += rows[5:9]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, kept int, runs string")
+
+
+def test_stages_on_nasty_rows(spark, sf_dir):
+    """Nulls anywhere, empty and long texts, repeated rows, clashing columns."""
+    for frame in (nasty(spark), nasty(spark).limit(0)):
+        docs = frame.cache()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            if name != "packing":
+                assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+        assert (docs.count() > 0) == (frame.count() > 0)
+
+
+def test_operators_on_nasty_rows(spark, sf_dir):
+    from tessera.llm import bpe, exact_dedup, packing, quality_model, quality_rules, queries as q, simhash, suffix_dedup, token_rollup, tokenfile, url_filter
+
+    import public_tokenizers
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ranks = q.vocabulary(q.BYTE_RANKS), public_tokenizers.PATTERN
+    for frame in (nasty(spark), nasty(spark).limit(0)):
+        n = frame.count()
+        one_each = [
+            exact_dedup.exact_groups(frame),
+            simhash.near_groups(frame),
+            quality_model.classify(frame, labels),
+            quality_model.classify(frame, labels.limit(0)),
+            tokenfile.token_files_round_trip(frame, q.vocabulary(q.BYTE_TOKENIZER)),
+            bpe.encode_texts(frame, *ranks),
+            suffix_dedup.cut_repeats(frame),
+            quality_rules.judge(frame, labels),
+            url_filter.filter_urls(frame.withColumnRenamed("text", "url").withColumnRenamed("source", "host"), spark.createDataFrame([(None, 1), ("http://a/", None)], "url string, label int"), id_col="doc_id"),
+        ]
+        assert [x.count() for x in one_each] == [n] * len(one_each)
+        assert packing.pack_documents(frame, q.vocabulary(q.WORD_TOKENIZER)).count() >= n
+        import tempfile
+
+        totals = token_rollup.maintained_totals(frame, f"file://{tempfile.mkdtemp()}/s").agg({"n_docs": "sum"}).first()[0] or 0
+        assert totals == frame.select("doc_id").distinct().where("doc_id is not null").count()
