@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -26,5 +27,15 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     use isn't computed again for each, and a lost executor costs no more than
     the step that is running."""
     path = f"{folder(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Remove a table when the driver's Python ends."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may have gone already; the folder is temporary
+        return
