@@ -13,22 +13,30 @@ from tessera.functions.tables import STOPWORDS
 HUMP = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
-def _useful(token: Column) -> Column:
-    return (F.char_length(token) > 1) & ~token.isin(STOPWORDS)
+#: A whole ASCII word of lower case, longer than one character, no stop word.
+USEFUL = f"(?<![a-z0-9])(?!(?:{'|'.join(STOPWORDS)})(?![a-z0-9]))[a-z0-9]{{2,}}"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def camel_split(word: Column) -> Column:
     return F.split(word, HUMP)
 
 
+def _useful(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(USEFUL), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case ASCII words longer than one character and not stop words; a
-    word of several humps also gives each hump. Duplicates stay."""
+    word of several humps also gives each hump. Duplicates stay.
+
+    Most texts have no hump at all: one pass of one pattern gives their tokens.
+    In the others every word is written with its humps behind it first.
+    """
     words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
-    split = F.flatten(F.transform(words, lambda w: F.when(F.size(camel_split(w)) > 1, F.concat(F.array(w), camel_split(w))).otherwise(F.array(w))))
-    # most texts have no hump at all, and need no second look at every word
-    lowered = F.when(text.rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"), F.transform(split, F.lower)).otherwise(F.transform(words, F.lower))
-    return F.coalesce(F.filter(lowered, _useful), F.array().cast("array<string>"))
+    spread = F.array_join(F.transform(words, lambda w: F.when(F.size(camel_split(w)) > 1, F.concat(w, F.lit(" "), F.array_join(camel_split(w), " "))).otherwise(w)), " ")
+    humps = text.rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]")
+    return F.coalesce(F.when(humps, _useful(spread)).otherwise(_useful(text)), F.array().cast("array<string>"))
 
 
 def query_name_tokens(text: Column) -> Column:
