@@ -197,14 +197,60 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col:
 SEEDS = (42, 43, 44)
 
 
-def candidates(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Bins of the sketch that sorts out most candidates before sets are compared,
+#: and how far below the similarity its estimate may be: over three deviations.
+BINS, MARGIN = 128, 0.12
+
+
+def shingle_set(data: bytes, shingle: int):
+    """The distinct shingles of lower-cased words as sorted 32-bit hashes, which
+    halve what is moved against 64-bit ones and agree by chance for one pair of
+    shingles in four thousand million."""
+    import numpy as np
+    import xxhash
+
+    words = data.lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint32, n))
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, sketch: of the shingles in each bin the least one's last bits, -1
+    for an empty bin. Two documents agree in a bin with the probability of their
+    similarity."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from tessera.llm.wordcodec import byte_values
+
+        def sketch(data: bytes):
+            out = np.full(BINS, -1, np.int16)
+            hashes = shingle_set(data, shingle)
+            bins = hashes // np.uint32((1 << 32) // BINS)
+            first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]])) if len(bins) else np.empty(0, np.int64)
+            out[bins[first]] = hashes[first] & np.uint32(0x7FFF)
+            return out
+
+        for batch in batches:
+            data = byte_values(batch.column(1))
+            for k in range(0, len(data), 500):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array([sketch(x) for x in data[k : k + 500]], pa.list_(pa.int16()))], ["doc_id", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch array<smallint>")
+
+
+def candidates(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a, b (a < b): documents whose fingerprints of single words are within
-    ``radius`` bits under one of the seeds, and within twice that on average.
+    ``radius`` bits under one of the seeds and within twice that on average, and
+    whose sketches don't rule the similarity out.
 
     A copy whose words differ by a few hundredths has fingerprints that differ
     by two or three bits, whereas those of long shingles would differ by far
     more. Texts that come near under one seed by chance don't under the others.
     """
+    spark = docs.sparkSession
     rows = written(fingerprints(docs, 1, id_col, text_col, seeds).where("doc_id is not null"), "word-fingerprints")
     out = None
     for k in range(len(seeds)):
@@ -215,33 +261,37 @@ def candidates(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = S
         ids = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("_b")), "b")
         pairs = same.unionByName(ids.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
         out = pairs if out is None else out.unionByName(pairs)
-    every = rows.select("doc_id", "fps").dropDuplicates(["doc_id"])
+    every = rows.dropDuplicates(["doc_id"])
     joined = out.distinct().join(every.select(F.col("doc_id").alias("a"), F.col("fps").alias("_a")), "a").join(every.select(F.col("doc_id").alias("b"), F.col("fps").alias("_b")), "b")
     apart = F.aggregate(F.zip_with("_a", "_b", distance), F.lit(0), lambda s, d: s + d)
-    return joined.where(apart <= 2 * radius * len(seeds)).select("a", "b")
+    pairs = written(joined.where(apart <= 2 * radius * len(seeds)).select("a", "b"), "near-pairs")
+    free_shuffles(spark)
+    made = written(sketches(_texts_of(docs, pairs, id_col, text_col), shingle), "sketches")
+    free_shuffles(spark)
+    both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("sketch").alias("_a")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("sketch").alias("_b")), "b")
+    used = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: (x >= 0) | (y >= 0)), lambda u: u))
+    agree = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: (x >= 0) & (x == y)), lambda u: u))
+    return both.where(agree >= (similarity - MARGIN) * used).select("a", "b")
+
+
+def _texts_of(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def shingle_hashes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, hashes: the set of shingles of lower-cased words, as 32-bit
-    hashes, which halve what is moved and agree by chance for one pair of
-    shingles in four thousand million."""
+    """doc_id, hashes: the set of shingles."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         from tessera.llm.wordcodec import byte_values
 
-        def hashes(data: bytes):
-            words = data.lower().split()
-            n = max(1, len(words) - shingle + 1) if words else 0
-            return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint32, n)).view(np.int32)
-
         for batch in batches:
             data = byte_values(batch.column(1))
             for k in range(0, len(data), 500):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array([hashes(x) for x in data[k : k + 500]], pa.list_(pa.int32()))], ["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array([shingle_set(x, shingle).view(np.int32) for x in data[k : k + 500]], pa.list_(pa.int32()))], ["doc_id", "hashes"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<int>")
 
@@ -249,10 +299,9 @@ def shingle_hashes(docs: DataFrame, shingle: int) -> DataFrame:
 def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a, b: candidates whose sets of ``shingle``-word shingles have a Jaccard
     similarity of ``similarity`` or more, computed in full."""
-    pairs = written(candidates(docs, radius, SEEDS, id_col, text_col), "candidates")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = written(shingle_hashes(texts, shingle), "shingles")
+    pairs = written(candidates(docs, radius, SEEDS, shingle, similarity, id_col, text_col), "candidates")
+    free_shuffles(docs.sparkSession)
+    sets = written(shingle_hashes(_texts_of(docs, pairs, id_col, text_col), shingle), "shingles")
     free_shuffles(docs.sparkSession)
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
