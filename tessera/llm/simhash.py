@@ -137,13 +137,43 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Edges that one task contracts at most; bounds its memory to some 100 MB.
+LOCAL_EDGES = 1 << 20
+
+
+def _contract(batches: Iterator) -> Iterator:
+    """The edges of one task as stars: node, least node that it reaches there."""
+    import numpy as np
+    import pyarrow as pa
+
+    pairs = [np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]) for b in batches if b.num_rows]
+    if not pairs:
+        return
+    names, ends = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
+    parent = list(range(len(names)))
+    for a, b in ends.reshape(2, -1).T.tolist():
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[max(a, b)] = min(a, b)  # names are in order
+    for i, p in enumerate(parent):  # a parent is smaller, so it is done before
+        parent[i] = parent[p]
+    root = np.array(parent)
+    keep = np.flatnonzero(root != np.arange(len(root)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(names[root[keep]])], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component, for every
     node that has an edge. ``edges``: columns a, b.
 
-    Alternating large-star and small-star rounds, each written to the shared
-    folder: the number of rounds grows with the logarithm of the longest path.
-    Groups are reduced by minima, so a hub's neighbours are never collected.
+    Tasks contract their own edges to stars; where one task has them all, that
+    is the answer. Else large-star and small-star rounds bring the tasks' stars
+    together, each round written to the shared folder; their number grows with
+    the logarithm of the longest path of what the tasks leave. Groups are
+    reduced by minima, so a hub's neighbours are never collected.
     """
     spark = edges.sparkSession
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -161,14 +191,20 @@ def components(edges: DataFrame) -> DataFrame:
     path, before = scratch_path(spark, "edges"), None
     edges.select("a", "b").where("a != b").write.parquet(path)
     while True:
-        now = spark.read.parquet(path)
+        now = spark.read.schema("a long, b long").parquet(path)
         sign = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if sign == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        after = scratch_path(spark, "edges")
-        star(star(now, True), False).write.parquet(after)
+            break
+        parts, after = -(-sign["n"] // LOCAL_EDGES), scratch_path(spark, "edges")
+        stars = now.coalesce(max(1, parts)).mapInArrow(_contract, "a long, b long")
+        (stars if parts <= 1 else star(star(stars, True), False)).write.parquet(after)
         remove_path(spark, path)
         path, before = after, sign
+        if parts <= 1:
+            now = spark.read.schema("a long, b long").parquet(path)
+            break
+    roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

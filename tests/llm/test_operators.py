@@ -257,9 +257,12 @@ def test_covering_finds_every_link(spark):
     assert [found.get(x, x) for x in signed] == brute.classes(fps, signed)
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("local", [1 << 20, 8])
+def test_components_of_a_path(spark, monkeypatch, local):
+    from tessera.llm import simhash
     from tessera.llm.simhash import components
 
+    monkeypatch.setattr(simhash, "LOCAL_EDGES", local)
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (150, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(i, 0) == 0 for i in range(61)) and got[200] == got[150] == 100
