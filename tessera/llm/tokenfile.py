@@ -28,7 +28,8 @@ from tessera.llm.common import scratch_path, text_or_empty
 
 MAGIC = b"TPF1"
 HEAD = struct.Struct("<4sIQQQQQ")
-#: Ids in a block, and the share of a block's ids that the packed width must hold.
+#: Ids in a block (fewer, larger blocks take fewer calls), and the share of its
+#: ids that the packed width must hold.
 BLOCK, SHARE = 4096, 0.95
 #: Ids in a shard file; bounds the memory of writers and readers.
 SHARD_IDS = 1 << 21
