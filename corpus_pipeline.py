@@ -27,8 +27,9 @@ def dedup_exactly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_nearly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one with the smallest id. SimHash
-    finds the pairs; five-word shingles with a similarity of 0.8 confirm them."""
+    """Of each group of similar documents, the one with the smallest id. Similar
+    are sets of five-word shingles with a Jaccard similarity of 0.8; the search
+    for them is exact."""
     return drop_near_copies(docs)
 
 

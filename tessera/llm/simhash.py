@@ -229,13 +229,13 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Seeds of the word fingerprints that find candidates for ``similar_pairs``.
-SEEDS = (42, 43, 44)
-
-
-#: Bins of the sketch that sorts out most candidates before sets are compared,
-#: and how far below the similarity its estimate may be: over three deviations.
-BINS, MARGIN = 128, 0.12
+#: Shingles that may be ranked as common, and shingles of a task counted at once.
+#: They only say in which order the shingles of a set are taken.
+COMMON, COUNTED = 1 << 18, 1 << 21
+#: Orders by which a bucket picks the member that the others are compared with first.
+HEADS = 8
+#: Buckets of up to so many members are compared together.
+SMALL = 16
 
 
 def shingle_set(data: bytes, shingle: int):
@@ -250,106 +250,234 @@ def shingle_set(data: bytes, shingle: int):
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint32, n))
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, sketch: of the shingles in each bin the least one's last bits, -1
-    for an empty bin. Two documents agree in a bin with the probability of their
-    similarity."""
+def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, place (hash of the text), key (64-bit hash of the set), hashes:
+    one row per row whose id isn't null."""
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
+        import xxhash
 
-        from tessera.llm.wordcodec import byte_values
+        import numpy as np
 
-        def sketch(data: bytes):
-            out = np.full(BINS, -1, np.int16)
-            hashes = shingle_set(data, shingle)
-            bins = hashes // np.uint32((1 << 32) // BINS)
-            first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]])) if len(bins) else np.empty(0, np.int64)
-            out[bins[first]] = hashes[first] & np.uint32(0x7FFF)
-            return out
+        from tessera.llm.wordcodec import byte_values
 
         for batch in batches:
-            data = byte_values(batch.column(1))
+            data = byte_values(batch.column(2))
             for k in range(0, len(data), 500):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array([sketch(x) for x in data[k : k + 500]], pa.list_(pa.int16()))], ["doc_id", "sketch"])
+                sets = [shingle_set(x, shingle) for x in data[k : k + 500]]
+                keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), batch.column(1).slice(k, 500), pa.array(keys), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))], ["doc_id", "place", "key", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch array<smallint>")
+    text = text_or_empty(text_col)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text")).where("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id long, place long, key long, hashes array<int>")
 
 
-def candidates(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b (a < b): documents whose fingerprints of single words are within
-    ``radius`` bits under one of the seeds and within twice that on average, and
-    whose sketches don't rule the similarity out.
+def common_shingles(sets: DataFrame) -> tuple:
+    """Hashes, in order, of shingles that many sets have, and their ranks from 1,
+    the commonest last."""
+    import numpy as np
 
-    A copy whose words differ by a few hundredths has fingerprints that differ
-    by two or three bits, whereas those of long shingles would differ by far
-    more. Texts that come near under one seed by chance don't under the others.
-    """
-    spark = docs.sparkSession
-    rows = written(fingerprints(docs, 1, id_col, text_col, seeds).where("doc_id is not null"), "word-fingerprints")
-    out = None
-    for k in range(len(seeds)):
-        own = rows.select("doc_id", F.col("fps")[k].alias("fp"))
-        heads = own.groupBy("fp").agg(F.min("doc_id").alias("head"))
-        same = salted_lookup(own, heads, "fp", "doc_id").where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-        near = links(heads.select("fp"), radius)
-        ids = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("_b")), "b")
-        pairs = same.unionByName(ids.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
-        out = pairs if out is None else out.unionByName(pairs)
-    every = rows.dropDuplicates(["doc_id"])
-    joined = out.distinct().join(every.select(F.col("doc_id").alias("a"), F.col("fps").alias("_a")), "a").join(every.select(F.col("doc_id").alias("b"), F.col("fps").alias("_b")), "b")
-    apart = F.aggregate(F.zip_with("_a", "_b", distance), F.lit(0), lambda s, d: s + d)
-    pairs = written(joined.where(apart <= 2 * radius * len(seeds)).select("a", "b"), "near-pairs")
-    free_shuffles(spark)
-    made = written(sketches(_texts_of(docs, pairs, id_col, text_col), shingle), "sketches")
-    free_shuffles(spark)
-    both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("sketch").alias("_a")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("sketch").alias("_b")), "b")
-    used = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: (x >= 0) | (y >= 0)), lambda u: u))
-    agree = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: (x >= 0) & (x == y)), lambda u: u))
-    return both.where(agree >= (similarity - MARGIN) * used).select("a", "b")
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
+        def flush():
+            hashes, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(hashes[n > 1]), pa.array(n[n > 1])], ["hash", "n"])
 
-def _texts_of(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            count += len(held[-1])
+            if count >= COUNTED:
+                yield flush()
+                held, count = [], 0
+        if count:
+            yield flush()
+
+    counts = sets.select("hashes").mapInArrow(run, "hash int, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
+    hashes = top["hash"].to_numpy().view(np.uint32)
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - np.arange(len(hashes), dtype=np.int64))[order]
 
 
-def shingle_hashes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, hashes: the set of shingles."""
+def _prefixes(similarity: float, common: tuple):
+    """Two sets as similar as that share one of the first shingles of each, if
+    all are in one order: rare ones first, so that few sets meet by chance."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        from tessera.llm.wordcodec import byte_values
-
+        known, ranks = common
         for batch in batches:
-            data = byte_values(batch.column(1))
-            for k in range(0, len(data), 500):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array([shingle_set(x, shingle).view(np.int32) for x in data[k : k + 500]], pa.list_(pa.int32()))], ["doc_id", "hashes"])
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                keys, which = np.unique(part.column(0).to_numpy(zero_copy_only=False), return_index=True)
+                lists = part.column(1).take(pa.array(which))
+                hashes, sizes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.diff(lists.offsets.to_numpy())
+                if not len(hashes):
+                    continue
+                rank = np.zeros(len(hashes), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    rank = np.where(known[at] == hashes, ranks[at], 0)
+                own = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.argsort(own << 32 | rank, kind="stable")  # the hashes of a set are in order already
+                place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first = np.flatnonzero(place < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[own])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[order[first]].view(np.int32)), pa.array(keys[own[first]]), pa.array(sizes[own[first]].astype(np.int32)), pa.array(place[first].astype(np.int32))], ["bucket", "key", "size", "place"])
+
+    return run
+
+
+def _whole_buckets(batches: Iterator) -> Iterator:
+    """Columns of rows in order of bucket, such that no bucket is cut."""
+    import numpy as np
+
+    held: list[dict] = []
+    for batch in batches:
+        cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        b = cols["bucket"]
+        if not len(b):
+            continue
+        if held and held[0]["bucket"][0] != b[0]:
+            yield {n: np.concatenate([h[n] for h in held]) for n in cols}
+            held = []
+        cuts = np.flatnonzero(b[1:] != b[:-1]) + 1
+        if len(cuts):
+            held.append({n: v[: cuts[-1]] for n, v in cols.items()})
+            yield {n: np.concatenate([h[n] for h in held]) for n in cols}
+            held, cols = [], {n: v[cuts[-1] :] for n, v in cols.items()}
+        held.append(cols)
+    if held:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+
+
+def _shared(batches: Iterator) -> Iterator:
+    """The rows of buckets that several sets are in, each set once."""
+    import numpy as np
+    import pyarrow as pa
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<int>")
+    for cols in _whole_buckets(batches):
+        order = np.lexsort((cols["key"], cols["bucket"]))
+        b, k = cols["bucket"][order], cols["key"][order]
+        new = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])
+        order, b = order[new], b[new]
+        same = b[1:] == b[:-1]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        for at in range(0, len(order), 50_000):
+            yield pa.RecordBatch.from_pydict({n: v[order[at : at + 50_000]] for n, v in cols.items()})
 
 
-def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b: candidates whose sets of ``shingle``-word shingles have a Jaccard
-    similarity of ``similarity`` or more, computed in full."""
-    pairs = written(candidates(docs, radius, SEEDS, shingle, similarity, id_col, text_col), "candidates")
-    free_shuffles(docs.sparkSession)
-    sets = written(shingle_hashes(_texts_of(docs, pairs, id_col, text_col), shingle), "shingles")
-    free_shuffles(docs.sparkSession)
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_b")), "b")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    every = F.size("_a") + F.size("_b") - shared
-    similar = written(joined.where((every == 0) | (shared >= similarity * every)).select("a", "b"), "similar")
-    free_shuffles(docs.sparkSession)
-    return similar
+def _bucket_pairs(similarity: float, full: bool):
+    """Pairs of sets in a bucket that aren't connected yet and may be similar,
+    by their sizes and the shingles that can still follow the shared one: each
+    bucket's head with the others or, if ``full``, all of them."""
 
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        def give(cols, x, y):
+            m, n, p, q = cols["size"][x].astype(np.int64), cols["size"][y].astype(np.int64), cols["place"][x], cols["place"][y]
+            most = np.minimum(p, q) + np.minimum(m - p, n - q)
+            may = (cols["root"][x] != cols["root"][y]) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9) & (most >= similarity / (1 + similarity) * (m + n) - 1e-9)
+            a, b = cols["key"][x[may]], cols["key"][y[may]]
+            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+            for k in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 50_000, 0].copy()), pa.array(found[k : k + 50_000, 1].copy())], ["a", "b"])
+
+        for cols in _whole_buckets(batches):
+            if not full:
+                mixed = (cols["key"].view(np.uint64) ^ (cols["bucket"].view(np.uint32) % HEADS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+                order = np.lexsort((mixed, cols["bucket"]))
+                cols = {n: v[order] for n, v in cols.items()}
+            b = cols["bucket"]
+            head = np.concatenate([[True], b[1:] != b[:-1]])
+            starts = np.flatnonzero(head)
+            if not full:
+                heads = starts[np.cumsum(head) - 1]
+                yield from give(cols, heads[~head], np.flatnonzero(~head))
+                continue
+            long = np.diff(np.append(starts, len(b)))
+            small = np.repeat(long <= SMALL, long)
+            for d in range(1, SMALL):
+                x = np.flatnonzero((b[d:] == b[:-d]) & small[d:])
+                if not len(x):
+                    break
+                yield from give(cols, x, x + d)
+            for start, n in zip(starts[long > SMALL].tolist(), long[long > SMALL].tolist()):
+                rows = np.arange(start, start + n)
+                _, root, members = np.unique(cols["root"][rows], return_inverse=True, return_counts=True)
+                if len(members) == 1:
+                    continue
+                most = root == members.argmax()  # connected already
+                rest, others = rows[most], rows[~most]
+                for k, x in enumerate(others):
+                    y = np.concatenate([rest, others[k + 1 :]])
+                    yield from give(cols, np.full(len(y), x), y)
+
+    return run
+
+
+def similar_links(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """a, b: keys of similar sets (Jaccard, computed in full) that connect every
+    similar pair, though they aren't all such pairs: sets that are connected
+    already aren't compared. ``sets``: written ``shingle_sets``.
+
+    The prefix filter is exact, whatever the edit: two sets of similarity t share
+    one of the first n - ceil(t n) + 1 shingles of each, n being the size of the
+    set. First each bucket's head is compared with the others, which
+    connects a large group of near copies by few pairs; then all pairs in a
+    bucket that are still apart.
+    """
+    spark = sets.sparkSession
+    found = sets.select("key", "hashes").mapInArrow(_prefixes(similarity, common_shingles(sets)), "bucket int, key long, size int, place int")
+    shared = written(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "bucket int, key long, size int, place int"), "buckets")
+    del found
+    free_shuffles(spark)
+    links = None
+    for full in (False, True):
+        roots = components(links) if links is not None else None
+        rows = shared.withColumn("root", F.col("key")) if roots is None else shared.join(roots, shared["key"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "key").alias("root"))
+        dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+        pairs = written(dealt.mapInArrow(_bucket_pairs(similarity, full), "a long, b long").distinct(), "near-pairs")
+        del rows, dealt
+        free_shuffles(spark)
+        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        own = written(sets.select("key", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "shingles")
+        free_shuffles(spark)
+        joined = pairs.join(own.select(F.col("key").alias("a"), F.col("hashes").alias("_a")), "a").join(own.select(F.col("key").alias("b"), F.col("hashes").alias("_b")), "b")
+        both = F.size(F.array_intersect("_a", "_b"))
+        similar = written(joined.where(both >= similarity * (F.size("_a") + F.size("_b") - both)).select("a", "b"), "similar")
+        del wanted, joined
+        free_shuffles(spark)
+        links = similar if links is None else links.unionByName(similar)
+    return links
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b (a < b): documents whose sets of ``shingle``-word shingles have a
+    Jaccard similarity of ``similarity`` or more, computed in full. They connect
+    every such pair, though they aren't all of them."""
+    sets = written(shingle_sets(docs, shingle, id_col, text_col), "shingle-sets")
+    heads = sets.groupBy("key").agg(F.min("doc_id").alias("head"))
+    same = salted_lookup(sets.select("key", "doc_id"), heads, "key", "doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    ids = similar_links(sets, similarity).join(heads.select(F.col("key").alias("a"), F.col("head").alias("_a")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("_b")), "b")
+    return same.unionByName(ids.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))).where("a < b").distinct()
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but those of which a similar document (directly, or
-    through others) has a smaller id. Rows with a null id stay."""
-    groups = components(similar_pairs(docs, shingle, similarity, radius, id_col, text_col))
-    gone = groups.where("node != root").select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    through others) has a smaller id. Rows with a null id stay; rows with one id
+    and different texts are judged each by its text."""
+    sets = written(shingle_sets(docs, shingle, id_col, text_col), "shingle-sets")
+    roots = components(similar_links(sets, similarity)).withColumnRenamed("node", "key")
+    rows = salted_lookup(sets.select("doc_id", "place", "key"), roots, "key", "doc_id").select("doc_id", "place", F.coalesce("root", "key").alias("root"))
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = salted_lookup(rows, least, "root", "doc_id").where("doc_id > least").select(F.col("doc_id").alias("_gone"), F.col("place").alias("_place")).distinct()
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_place")), "left_anti")

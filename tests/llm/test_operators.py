@@ -234,6 +234,43 @@ def test_similar_pairs(spark):
     assert drop_near_copies(frame.limit(0)).count() == 0
 
 
+def connected(n, pairs):
+    """The least member of the component of each of 0 to n - 1."""
+    root = list(range(n))
+    for a, b in pairs:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    return root
+
+
+def check_near_copies(spark, texts):
+    from tessera.llm.simhash import drop_near_copies, similar_pairs
+
+    sets = [brute.shingles(t, 5) for t in texts]
+    every = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    frame = docs(spark, texts).repartition(5)
+    found = {(r["a"], r["b"]) for r in similar_pairs(frame).collect()}
+    want = connected(len(texts), every)
+    assert found <= every and connected(len(texts), found) == want
+    assert {r["doc_id"] for r in drop_near_copies(frame).collect()} == set(want)
+    return every
+
+
+def test_copies_of_one_original(spark):
+    """Each copy is above 0.8 of the original and below 0.8 of most others."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    base, texts = [word() for _ in range(400)], []
+    for _ in range(30):
+        w = list(base)
+        at = rng.randrange(380)
+        w[at : at + 20] = [word() for _ in range(20)]
+        texts.append(" ".join([*w, *(word() for _ in range(33))]))
+    every = check_near_copies(spark, [*texts, " ".join(base)])
+    assert all((i, 30) in every for i in range(30)) and len(every) < 30 * 20
+
+
 def test_covering_finds_every_link(spark):
     from tessera.llm.simhash import components, covering_masks, links
 
