@@ -234,6 +234,19 @@ def test_similar_pairs(spark):
     assert drop_near_copies(frame.limit(0)).count() == 0
 
 
+def edited(base, i, other, word):
+    """Near copies by one kind of edit each: appended, put before, cut, replaced."""
+    n, k = len(base), i % 4
+    extra = max(1, n * (4 + i % 15) // 100)
+    if k == 0:
+        return base + other[:extra]
+    if k == 1:
+        return other[:extra] + base
+    if k == 2:
+        return base[: n - extra]
+    return [word() if j % 50 == i % 50 else w for j, w in enumerate(base)]
+
+
 def connected(n, pairs):
     """The least member of the component of each of 0 to n - 1."""
     root = list(range(n))
@@ -271,6 +284,17 @@ def test_copies_of_one_original(spark):
     assert all((i, 30) in every for i in range(30)) and len(every) < 30 * 20
 
 
+def test_no_similar_pair_is_lost(spark):
+    """Appended, prefixed, truncated and scattered edits."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    base = [[word() for _ in range(rng.randint(60, 250))] for _ in range(80)]
+    every = check_near_copies(spark, [" ".join(w) for w in base] + [" ".join(edited(base[i], i, base[(i + 7) % 80], word)) for i in range(80)])
+    assert len(every) > 60
+
+
 def test_covering_finds_every_link(spark):
     from tessera.llm.simhash import components, covering_masks, links
 
