@@ -52,11 +52,11 @@ def text_figures(text: Column) -> list[tuple[str, str]]:
     return [
         ("words", r"filter(split(text, '[ \\t\\n\\x0B\\f\\r]+'), w -> w != '')"),
         ("n_words", "cast(size(words) as bigint)"),
-        ("word_chars", r"cast(char_length(translate(text, ' \t\n\u000B\f\r', '')) as bigint)"),
+        ("word_chars", r"cast(char_length(translate(text, ' \t\n\u000B\u000C\r', '')) as bigint)"),
         ("n_symbols", f"cast(char_length(text) - char_length(translate(text, '{SYMBOLS}', '')) as bigint)"),
         ("n_upper", "cast(char_length(text) - char_length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as bigint)"),
         ("n_shouts", "cast(char_length(text) - char_length(translate(text, '!', '')) as bigint)"),
-        ("lines", r"filter(split(text, '\n'), l -> translate(l, ' \t\n\u000B\f\r', '') != '')"),
+        ("lines", r"filter(split(text, '\n'), l -> translate(l, ' \t\n\u000B\u000C\r', '') != '')"),
         ("n_lines", "cast(size(lines) as bigint)"),
         ("n_dup_lines", "cast(size(lines) - size(array_distinct(lines)) as bigint)"),
         ("hashes", f"if(n_words >= {WINDOW}, transform(words, w -> xxhash64(w)), null)"),

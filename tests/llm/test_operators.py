@@ -429,6 +429,16 @@ def test_quality_rules(spark, sf_dir):
     assert judge(frame.limit(0), labels).count() == 0
 
 
+def test_letters_f_and_form_feeds(spark):
+    from tessera.llm.quality_rules import base_figures
+
+    texts = ["off fifty", "fff\nfff\nfff", "a\x0cb\x0c", "\x0c\n\x0c\nf"]
+    frame = docs(spark, texts)
+    got = {r["doc_id"]: r for r in base_figures(frame).collect()}
+    assert [got[i]["word_chars"] for i in range(4)] == [8, 9, 2, 1]
+    assert [(got[i]["n_lines"], got[i]["n_dup_lines"]) for i in range(4)] == [(1, 0), (3, 2), (1, 0), (1, 0)]
+
+
 def test_cutoffs_keep_the_risk():
     from tessera.llm.quality_rules import RULES, at_most, choose_cutoffs
 
