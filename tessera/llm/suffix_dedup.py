@@ -31,7 +31,7 @@ BATCH = 1 << 20
 #: What a row says: a run (to be removed), a string of a whole group, one of a
 #: group in parts, a window kept by such a part.
 RUN, WHOLE, PART, KEPT = 1, 2, 3, 4
-#: The key of a null id: before all others.
+#: The key of a null id where all ids differ: before all others.
 NULL_ID = -(1 << 63)
 
 
@@ -39,6 +39,26 @@ def _key(column):
     return F.coalesce(column.cast("long"), F.lit(NULL_ID))
 
 
+def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """id, digest, key: the place of each distinct id and text in the order of
+    ids, null ones first, and of digests within an id. None where rows have
+    different ids, which then are their own keys."""
+    if docs.select(_key(docs[id_col]).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return None
+    pairs = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("digest")).distinct()
+    ranked = pairs.orderBy(F.asc_nulls_first("id"), "digest").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+    return written(docs.sparkSession.createDataFrame(ranked, "id long, digest long, key long"), "places")
+
+
+def _keyed(rows: DataFrame, places: DataFrame | None, id_col: str) -> DataFrame:
+    """``rows``, which have a column ``text``, with their key."""
+    if places is None:
+        return rows.withColumn("key", _key(F.col(id_col)))
+    table = places.withColumnsRenamed({"id": "_id", "digest": "_digest"})
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
+    return rows.join(table, same).drop("_id", "_digest")
+
+
 def _found_runs(size: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -189,11 +209,13 @@ def _compare(size: int):
     return run
 
 
-def removed_runs(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_runs(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", places: DataFrame | None = None) -> DataFrame:
     """key, start, n: the runs of windows to be removed, ``n`` windows from byte
-    ``start``. ``key`` is the id, or NULL_ID."""
+    ``start``. ``key`` is that of ``_keyed``; rows that share it count once."""
     spark = docs.sparkSession
-    rows = docs.select(_key(docs[id_col]).alias("doc"), text_or_empty(text_col).alias("text"))
+    rows = _keyed(docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")), places, "id").select(F.col("key").alias("doc"), "text")
+    if places is not None:
+        rows = rows.dropDuplicates(["doc"])
     found = rows.mapInArrow(_found_runs(size), "anchor long, digest long, doc long, start long, n int, kind int")
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "digest", "doc", "start")
     marks = written(dealt.mapInArrow(_group_runs, "doc long, start long, n int, grp long, part int, kind int"), "runs")
@@ -251,10 +273,13 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_
     Strings are judged on the input, may overlap, and never cross documents.
     Null and short texts lose nothing; a null id is before all others. Rows
     that repeat an id and a text are one document: neither removes the other.
-    Other columns are ignored; an empty table gives no rows.
+    Different texts with one id, or with null ids, are documents of their own,
+    in the order of their digests. Other columns are ignored; an empty table
+    gives no rows.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", _key(F.col("doc_id")))
-    runs = removed_runs(docs, size, id_col, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    places = _places(docs, id_col, text_col)
+    rows = _keyed(docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), places, "doc_id")
+    runs = removed_runs(docs, size, id_col, text_col, places).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     joined = rows.join(runs, "key", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_cut(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
@@ -265,9 +290,10 @@ def drop_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     if docs.isEmpty():
         return docs
     others = [c for c in docs.columns if c != text_col]
-    runs = removed_runs(docs, size, id_col, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    places = _places(docs, id_col, text_col)
+    runs = removed_runs(docs, size, id_col, text_col, places).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     renamed = [docs[c].alias(f"c{i}") for i, c in enumerate(others)]
-    rows = docs.select(*renamed, text_or_empty(text_col).alias("text"), _key(docs[id_col]).alias("key"))
+    rows = _keyed(docs.select(*renamed, text_or_empty(text_col).alias("text")), places, f"c{others.index(id_col)}")
     joined = rows.join(runs, "key", "left").drop("key")
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
     cut = joined.mapInArrow(_cut(size), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -487,6 +487,22 @@ def test_suffix_dedup_on_hard_texts(spark, monkeypatch):
     assert all(kept[d] == want[d][3].decode("utf-8", "ignore") for d, _ in rows)
 
 
+def test_suffix_dedup_on_repeated_rows_and_ids(spark):
+    from tessera.llm.suffix_dedup import cut_repeats, drop_repeats
+
+    line = lambda k, n=60: " ".join(f"{k}{i * i}" for i in range(n))
+    alone = [[(5, line("a")), (5, line("a"))], [(None, line("b")), (None, line("c"))], [(None, line("b")), (None, line("b"))]]
+    for rows in alone:  # nothing starts earlier in another document
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        assert {r["n_removed"] for r in cut_repeats(frame).collect()} == {0}
+        assert sorted(map(tuple, drop_repeats(frame).collect()), key=str) == sorted(rows, key=str)
+    both = spark.createDataFrame([(None, line("b")), (7, "head " + line("b")), (9, line("d")), (9, line("e")), (8, line("d"))], "doc_id long, text string")
+    got = sorted(map(tuple, drop_repeats(both).collect()), key=str)
+    assert got == sorted([(None, line("b")), (7, "head "), (9, ""), (9, line("e")), (8, line("d"))], key=str)
+    shared = spark.createDataFrame([(None, line("b") + " one"), (None, line("b") + " two")], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in cut_repeats(shared).collect()) == [0, len(line("b")) + 1]
+
+
 def test_group_runs_in_parts():
     """Groups of any size and batch boundaries give each string once."""
     import pyarrow as pa
