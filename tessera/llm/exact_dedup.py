@@ -11,9 +11,9 @@ normalised content, so that equal digests of different texts never meet:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.llm.common import ASCII_SPACE, salted_lookup, text_or_empty
+from tessera.llm.common import ASCII_SPACE, salted_lookup, text_or_empty, written
 
 SALTS = 16
 #: 2**64 as a decimal: room for every id below a length.
@@ -82,10 +82,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, with their columns.
-
-    Ids are taken to be unique here, as documents' ids are; rows that repeat an
-    id and a text entirely are first reduced to one.
+    """The rows of ``docs`` that ``exact_groups`` keeps, with their columns: a row
+    stays if its id and its own text won its group; of rows that repeat both,
+    the one with the least original text, any one where that is equal too.
     """
-    kept = combine(docs, id_col, text_col, salts).select(F.col("keep_id").alias("_keep_id"))
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
+    text = text_or_empty(text_col)
+    winners = combine(docs, id_col, text_col, salts).select(F.col("keep_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.char_length("content").alias("_length"), F.col("points").alias("_points"))
+    winners = written(winners, "winners")
+    key = ["_id", "_sha", "_length", "_points"]
+    rows = docs.withColumns({"_id": docs[id_col].cast("long"), "_sha": F.sha2(normalised(text), 256), "_length": F.char_length(normalised(text)), "_points": F.char_length(text)})
+
+    def among(frame: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        table = table.select(*(F.col(k).alias(f"_{k}") for k in key))
+        return frame.join(table, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], how)
+
+    kept = among(rows, winners, "left_semi")
+    again = written(kept.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "repeated")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(text))
+    once = among(kept, again, "left_semi").withColumn("_first", first).where("_first = 1")
+    return among(kept, again, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -198,6 +198,15 @@ def test_exact_dedup(spark, sf_dir):
     assert sorted(((r["doc_id"], r["keep_id"], r["kept"]) for r in exact_groups(nulls).collect()), key=str) == sorted([(None, 3, False), (3, 3, True), (None, None, True)], key=str)
 
 
+def test_exact_copies_by_row(spark):
+    from tessera.llm.exact_dedup import drop_exact_copies
+
+    rows = [(1, "a b"), (1, "a b"), (2, "ab"), (2, "q"), (None, "x"), (None, "x"), (None, " x"), (None, "y"), (3, "z"), (3, "zz"), (4, "y"), (5, "m n"), (5, "mn "), (None, "w"), (None, None), (None, " ")]
+    want = [(1, "a b"), (2, "q"), (3, "z"), (3, "zz"), (4, "y"), (5, "m n"), (None, " x"), (None, "w"), (None, " ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, drop_exact_copies(frame).collect()), key=str) == sorted(want, key=str)
+
+
 def test_simhash(spark, sf_dir):
     for frame in (spark.read.parquet(f"{sf_dir}/documents.parquet"), docs(spark, [*brute.ODD, *brute.ODD])):
         rows = frame.collect()
