@@ -95,6 +95,15 @@ def test_scan_word(spark):
     assert [tuple(r) for r in lexical.scan_word(frame, "foo", "ts").collect()] == [("a.ts", 1, "$foo"), ("b.ts", 1, "x foo"), ("b.ts", 3, "foo(foo)")]
 
 
+def test_bulk_vectors_in_blocks(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(40)], "row_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, [float(i % 3), 1.0 - i]) for i in range(11)], "query_id int, query_vector array<float>")
+    want = sorted(map(tuple, dense.rank_vectors(vectors, asked, 3).collect()))
+    for size in (1, 4, 11, 12):
+        assert sorted(map(tuple, dense.rank_vectors_bulk(vectors, asked, 3, max_queries=size).collect())) == want
+    assert dense.rank_vectors_bulk(vectors, asked.limit(0), 3).count() == 0
+
+
 def test_vectors(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.7, 0.7]), (3, [0.7, 0.7])], "row_id long, embedding array<float>")
     asked = spark.createDataFrame([(9, [0.0, 1.0])], "query_id int, query_vector array<float>")
