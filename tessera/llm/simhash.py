@@ -448,7 +448,9 @@ def similar_links(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
         pairs = written(dealt.mapInArrow(_bucket_pairs(similarity, full), "a long, b long").distinct(), "near-pairs")
         del rows, dealt
         free_shuffles(spark)
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = written(keys, "wanted")  # of known size, so that few keys don't move all sets
+        del keys
         own = written(sets.select("key", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "shingles")
         free_shuffles(spark)
         joined = pairs.join(own.select(F.col("key").alias("a"), F.col("hashes").alias("_a")), "a").join(own.select(F.col("key").alias("b"), F.col("hashes").alias("_b")), "b")
