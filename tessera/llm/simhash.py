@@ -17,6 +17,8 @@ from tessera.llm.common import free_shuffles, remove_path, salted_lookup, scratc
 
 SEED = 42
 RADIUS = 3
+#: Members of a bucket that are compared without splitting it.
+LARGE = 4096
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -27,50 +29,62 @@ def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, size + 1)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """doc_id, fps: the 64-bit fingerprint of each seed, as signed longs.
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-    A-Z are lower-cased; words are runs of characters outside [\\x20\\x09-\\x0D];
-    every shingle of ``shingle`` words counts, repeats included; a shorter text
-    is one shingle; a text without words (null, empty) has fingerprint 0. A bit
-    is 1 if more than half of the shingles' XXH64 have it.
+
+def shingle_hashes(data: bytes, shingle: int) -> Iterator:
+    """The XXH64 of every shingle of a text, in order, in arrays of up to 65,536,
+    which bounds what is held at once for a very long text. A-Z are lower-cased;
+    words are runs of characters outside [\\x20\\x09-\\x0D]; fewer words than
+    ``shingle`` are one shingle; without words there is none."""
+    import numpy as np
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    words = data.translate(_LOWER).split()
+    if not words:
+        return
+    ends, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    line = b" ".join(words)
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    last = ends[min(shingle, len(words)) - 1 :]
+    for k in range(0, len(last), 1 << 16):
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[k : k + (1 << 16)], last[k : k + (1 << 16)])], "<u8")
+
+
+def majority(parts: list) -> int:
+    """The fingerprint of a text, as a signed long, from its shingles' hashes."""
+    import numpy as np
+
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp: the 64-bit fingerprint, as a signed long.
+
+    Every shingle of ``shingle`` words counts, repeats included (see
+    ``shingle_hashes``); a text without words (null, empty) has fingerprint 0.
+    A bit is 1 if more than half of the shingles' XXH64 have it.
     """
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
-        import xxhash
 
         from tessera.llm.wordcodec import byte_values
 
-        lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-        digest = xxhash.xxh64_intdigest
-
-        def fingerprint(data: bytes) -> list[int]:
-            words = data.translate(lower).split()
-            if not words:
-                return [0] * len(seeds)
-            ends, at = [], -1
-            for w in words:
-                at += len(w) + 1
-                ends.append(at)
-            line = b" ".join(words)
-            starts = [0, *(e + 1 for e in ends[:-1])]
-            ones, n = np.zeros((len(seeds), 64), np.int64), max(1, len(words) - shingle + 1)
-            last = ends[min(shingle, len(words)) - 1 :]
-            for k in range(0, n, 1 << 16):  # bounds the bits held at once for a very long text
-                parts = [line[a:b] for a, b in zip(starts[k : k + (1 << 16)], last[k : k + (1 << 16)])]
-                for i, seed in enumerate(seeds):
-                    h = np.array([digest(x, seed) for x in parts], "<u8")
-                    ones[i] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
-
         for batch in batches:
-            data = byte_values(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x) for x in data], pa.list_(pa.int64()))], ["doc_id", "fps"])
+            found = [majority(shingle_hashes(x, shingle)) for x in byte_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fps array<long>")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -86,9 +100,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     A bucket's members are read in a stream, 8 bytes each. From one member,
     all others not yet reached are compared at once; members reached are taken
     out, so a large bucket of near copies needs a few such sweeps. The smallest
-    member begins, so that tables mostly give the same trees.
+    member begins, so that tables mostly give the same trees. A bucket beyond
+    ``LARGE`` members is split by further bits: those that its mask drops fall
+    into ``radius`` + 1 blocks, and two members within the radius agree in all
+    bits of one block, so the members that share a block's bits are compared,
+    block by block.
     """
-    signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
+    masks = covering_masks(radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for k, m in enumerate(signed)))
 
     def run(batches: Iterator) -> Iterator:
@@ -109,9 +128,20 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                         found.append((np.full(len(new), at, np.uint64), new))
             return found
 
-        def flush(pieces):
+        def parts(members, table):
+            if len(members) <= LARGE:
+                yield members
+                return
+            free = [i for i in range(64) if not masks[table] >> i & 1]
+            for block in range(radius + 1):
+                value = members & np.uint64(sum(1 << i for i in free[block :: radius + 1]))
+                order = np.argsort(value, kind="stable")
+                cuts = np.flatnonzero(np.diff(value[order])) + 1
+                yield from (members[x] for x in np.split(order, cuts) if len(x) > 1)
+
+        def flush(pieces, table):
             members = np.unique(np.concatenate(pieces))
-            for a, b in trees(members) if len(members) > 1 else ():
+            for a, b in (edge for part in parts(members, table) if len(part) > 1 for edge in trees(part)):
                 a, b = a.view(np.int64), b.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -126,11 +156,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 if i or (t[a], bucket[a]) != key:
                     if len(held) > 1 or held and len(held[0]) > 1:
-                        yield from flush(held)
+                        yield from flush(held, key[0])
                     held, key = [], (t[a], bucket[a])
                 held.append(fp[a:b])
         if len(held) > 1 or held and len(held[0]) > 1:
-            yield from flush(held)
+            yield from flush(held, key[0])
 
     rows = fps.select("fp", F.explode(tables).alias("x")).select("x.t", "x.bucket", "fp")
     dealt = rows.repartition("t", "bucket").sortWithinPartitions("t", "bucket")
@@ -218,7 +248,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col:
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "fingerprints")
-    fingerprints(docs, shingle, id_col, text_col).select("doc_id", F.col("fps")[0].alias("fp")).write.parquet(path)
+    fingerprints(docs, shingle, id_col, text_col).write.parquet(path)
     rows = spark.read.schema("doc_id long, fp long").parquet(path)
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(distinct.select("fp"), radius))
@@ -238,40 +268,37 @@ HEADS = 8
 SMALL = 16
 
 
-def shingle_set(data: bytes, shingle: int):
-    """The distinct shingles of lower-cased words as sorted 32-bit hashes, which
-    halve what is moved against 64-bit ones and agree by chance for one pair of
-    shingles in four thousand million."""
-    import numpy as np
-    import xxhash
-
-    words = data.lower().split()
-    n = max(1, len(words) - shingle + 1) if words else 0
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint32, n))
-
-
 def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, place (hash of the text), key (64-bit hash of the set), hashes:
-    one row per row whose id isn't null."""
+    """doc_id, place (hash of the text), key (64-bit hash of the set), fp
+    (fingerprint), hashes: one row per row whose id isn't null.
+
+    ``hashes`` are the distinct shingles as sorted 32-bit hashes, which halve
+    what is moved against 64-bit ones and agree by chance for one pair of
+    shingles in four thousand million.
+    """
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         import xxhash
 
-        import numpy as np
-
         from tessera.llm.wordcodec import byte_values
 
         for batch in batches:
             data = byte_values(batch.column(2))
             for k in range(0, len(data), 500):
-                sets = [shingle_set(x, shingle) for x in data[k : k + 500]]
+                fps, sets = [], []
+                for text in data[k : k + 500]:
+                    parts = list(shingle_hashes(text, shingle))
+                    fps.append(majority(parts))
+                    sets.append(np.unique(np.concatenate([np.empty(0, "<u8"), *parts]).astype(np.uint32)))
                 keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), batch.column(1).slice(k, 500), pa.array(keys), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))], ["doc_id", "place", "key", "hashes"])
+                columns = [batch.column(0).slice(k, 500), batch.column(1).slice(k, 500), pa.array(keys), pa.array(fps, pa.int64()), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "key", "fp", "hashes"])
 
     text = text_or_empty(text_col)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, place long, key long, hashes array<int>")
+    return rows.mapInArrow(run, "doc_id long, place long, key long, fp long, hashes array<int>")
 
 
 def common_shingles(sets: DataFrame) -> tuple:
@@ -306,7 +333,8 @@ def common_shingles(sets: DataFrame) -> tuple:
 
 def _prefixes(similarity: float, common: tuple):
     """Two sets as similar as that share one of the first shingles of each, if
-    all are in one order: rare ones first, so that few sets meet by chance."""
+    all are in one order: rare ones first, so that few sets meet by chance.
+    ``rare``: the share of a set's shingles that aren't common, in 64ths."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -329,7 +357,9 @@ def _prefixes(similarity: float, common: tuple):
                 order = np.argsort(own << 32 | rank, kind="stable")  # the hashes of a set are in order already
                 place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 first = np.flatnonzero(place < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[own])
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[order[first]].view(np.int32)), pa.array(keys[own[first]]), pa.array(sizes[own[first]].astype(np.int32)), pa.array(place[first].astype(np.int32))], ["bucket", "key", "size", "place"])
+                rare = np.bincount(own, rank == 0, minlength=len(sizes)) * 64 // np.maximum(1, sizes)
+                columns = [hashes[order[first]].view(np.int32), keys[own[first]], sizes[own[first]].astype(np.int32), place[first].astype(np.int32), rare[own[first]].astype(np.int8)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "key", "size", "place", "rare"])
 
     return run
 
@@ -373,93 +403,245 @@ def _shared(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_pydict({n: v[order[at : at + 50_000]] for n, v in cols.items()})
 
 
-def _bucket_pairs(similarity: float, full: bool):
-    """Pairs of sets in a bucket that aren't connected yet and may be similar,
-    by their sizes and the shingles that can still follow the shared one: each
-    bucket's head with the others or, if ``full``, all of them."""
+def _give(cols: dict, x, y, similarity: float) -> Iterator:
+    """The pairs of rows x[i], y[i] of a bucket that aren't connected yet and
+    may be similar, by their sizes, the shingles that can still follow the
+    shared one and, where there are sketches, the least that the sets differ."""
+    import numpy as np
+    import pyarrow as pa
+
+    m, n, p, q = cols["size"][x].astype(np.int64), cols["size"][y].astype(np.int64), cols["place"][x], cols["place"][y]
+    most = np.minimum(p, q) + np.minimum(m - p, n - q)
+    may = (cols["root"][x] != cols["root"][y]) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9) & (most >= similarity / (1 + similarity) * (m + n) - 1e-9)
+    if "sketch" in cols:
+        at = np.flatnonzero(may)
+        may[at] = differing(cols["sketch"], cols["at"], cols["words"], x[at], y[at]) <= (1 - similarity) / (1 + similarity) * (m[at] + n[at]) + 1e-9
+    a, b = cols["key"][x[may]], cols["key"][y[may]]
+    found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+    for k in range(0, len(found), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 50_000, 0].copy()), pa.array(found[k : k + 50_000, 1].copy())], ["a", "b"])
+
+
+def _head_pairs(similarity: float):
+    """Each bucket's head with the others of the bucket. The head is a member
+    with the least share of rare shingles: of a text and its altered copies it
+    is the text, which the copies are most similar to."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
-
-        def give(cols, x, y):
-            m, n, p, q = cols["size"][x].astype(np.int64), cols["size"][y].astype(np.int64), cols["place"][x], cols["place"][y]
-            most = np.minimum(p, q) + np.minimum(m - p, n - q)
-            may = (cols["root"][x] != cols["root"][y]) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9) & (most >= similarity / (1 + similarity) * (m + n) - 1e-9)
-            a, b = cols["key"][x[may]], cols["key"][y[may]]
-            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-            for k in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 50_000, 0].copy()), pa.array(found[k : k + 50_000, 1].copy())], ["a", "b"])
 
         for cols in _whole_buckets(batches):
-            if not full:
-                mixed = (cols["key"].view(np.uint64) ^ (cols["bucket"].view(np.uint32) % HEADS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-                order = np.lexsort((mixed, cols["bucket"]))
-                cols = {n: v[order] for n, v in cols.items()}
+            mixed = (cols["key"].view(np.uint64) ^ (cols["bucket"].view(np.uint32) % HEADS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+            order = np.lexsort((mixed, cols["rare"], cols["bucket"]))
+            cols = {n: v[order] for n, v in cols.items()}
             b = cols["bucket"]
             head = np.concatenate([[True], b[1:] != b[:-1]])
-            starts = np.flatnonzero(head)
-            if not full:
-                heads = starts[np.cumsum(head) - 1]
-                yield from give(cols, heads[~head], np.flatnonzero(~head))
-                continue
-            long = np.diff(np.append(starts, len(b)))
-            small = np.repeat(long <= SMALL, long)
+            heads = np.flatnonzero(head)[np.cumsum(head) - 1]
+            yield from _give(cols, heads[~head], np.flatnonzero(~head), similarity)
+
+    return run
+
+
+def _apart(batches: Iterator) -> Iterator:
+    """The rows of buckets whose members aren't all connected, and whether the
+    bucket is a large one."""
+    import numpy as np
+    import pyarrow as pa
+
+    for cols in _whole_buckets(batches):
+        b, root = cols["bucket"], cols["root"]
+        new = np.concatenate([[True], b[1:] != b[:-1]])
+        starts = np.flatnonzero(new)
+        long = np.diff(np.append(starts, len(b)))
+        several = (np.maximum.reduceat(root, starts) != np.minimum.reduceat(root, starts)) if len(b) else np.empty(0, bool)
+        at = np.flatnonzero(np.repeat(several, long))
+        cols["large"] = np.repeat(long > SMALL, long)
+        for k in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_pydict({n: v[at[k : k + 50_000]] for n, v in cols.items()})
+
+
+def _small_pairs(similarity: float):
+    """All pairs that may be similar in buckets of ``SMALL`` members or fewer."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        for cols in _whole_buckets(batches):
             for d in range(1, SMALL):
-                x = np.flatnonzero((b[d:] == b[:-d]) & small[d:])
+                x = np.flatnonzero(cols["bucket"][d:] == cols["bucket"][:-d])
                 if not len(x):
                     break
-                yield from give(cols, x, x + d)
-            for start, n in zip(starts[long > SMALL].tolist(), long[long > SMALL].tolist()):
-                rows = np.arange(start, start + n)
-                _, root, members = np.unique(cols["root"][rows], return_inverse=True, return_counts=True)
-                if len(members) == 1:
+                yield from _give(cols, x, x + d, similarity)
+
+    return run
+
+
+def sketch(hashes) -> bytes:
+    """Bit i says whether an odd number of the set's hashes fall in slot i, of
+    four slots or more for each hash. A slot where two sets differ holds a hash
+    that only one of them has, so sets differ in no fewer hashes than sketches
+    in bits. A sketch of half as many slots is the exclusive or of its halves."""
+    import numpy as np
+
+    slots = 64
+    while slots < 4 * len(hashes):
+        slots *= 2
+    spread = hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
+    odd = np.bincount((spread % np.uint64(slots)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(words, at, size, x, y):
+    """For the pairs of sketches x[i], y[i], the bits in which they differ. Sketch
+    k is ``size[k]`` 64-bit words from ``words[at[k]]``."""
+    import numpy as np
+
+    out = np.zeros(len(x), np.int64)
+    less = np.minimum(size[x], size[y])
+    for n in np.unique(less).tolist():
+        rows = np.flatnonzero(less == n)
+        for k in range(0, len(rows), max(1, (1 << 21) // n)):
+            part = rows[k : k + max(1, (1 << 21) // n)]
+
+            def folded(which):
+                here = np.zeros((len(part), n), np.uint64)
+                for times in range(int(size[which[part]].max()) // n):
+                    own = np.flatnonzero(size[which[part]] > times * n)
+                    here[own] ^= words[at[which[part[own]]][:, None] + times * n + np.arange(n)]
+                return here
+
+            out[part] = np.bitwise_count(folded(x) ^ folded(y)).sum(1, dtype=np.int64)
+    return out
+
+
+def _large_pairs(similarity: float):
+    """In large buckets, the pairs of members that are apart and that neither
+    sizes and places nor sketches tell to be dissimilar."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def flush(bucket):
+            cols = {n: np.concatenate([h[n] for h in bucket]) for n in bucket[0]}
+            cols["at"] = np.concatenate([[0], np.cumsum(cols["words"])[:-1]])
+            _, root, members = np.unique(cols["root"], return_inverse=True, return_counts=True)
+            most = root == members.argmax()  # connected already
+            rest, others = np.flatnonzero(most), np.flatnonzero(~most)
+            for k in range(0, len(others), step := max(1, (1 << 18) // len(root))):
+                x, y = [], []
+                for i in range(k, min(k + step, len(others))):
+                    y.append(np.concatenate([rest, others[i + 1 :]]))
+                    x.append(np.full(len(y[-1]), others[i]))
+                yield from _give(cols, np.concatenate(x), np.concatenate(y), similarity)
+
+        held: list[dict] = []
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
                     continue
-                most = root == members.argmax()  # connected already
-                rest, others = rows[most], rows[~most]
-                for k, x in enumerate(others):
-                    y = np.concatenate([rest, others[k + 1 :]])
-                    yield from give(cols, np.full(len(y), x), y)
+                if held and held[0]["bucket"][0] != bucket[a]:
+                    yield from flush(held)
+                    held = []
+                part = batch.slice(a, b - a)
+                cols = {n: part.column(n).to_numpy(zero_copy_only=False) for n in ("bucket", "key", "size", "place", "root")}
+                sketches = part.column("sketch").to_pylist()
+                cols |= {"words": np.array([len(s) // 8 for s in sketches], np.int64), "sketch": np.frombuffer(b"".join(sketches), "<u8")}
+                held.append(cols)
+        if held:
+            yield from flush(held)
 
     return run
 
 
+def _sketched(batches: Iterator) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            lists = batch.column(1).slice(k, 500)
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array([sketch(values[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())], ["key", "sketch"])
+
+
+def _own(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, hashes: the sets with one of the distinct ``keys``, which are written
+    first, so that their size is known and few of them don't move all sets."""
+    wanted = written(keys, "wanted")
+    return sets.select("key", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of the written ``pairs`` of keys, those whose sets are similar: their
+    Jaccard similarity is computed in full."""
+    spark = sets.sparkSession
+    own = written(_own(sets, pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()), "shingles")
+    free_shuffles(spark)
+    joined = pairs.join(own.select(F.col("key").alias("a"), F.col("hashes").alias("_a")), "a").join(own.select(F.col("key").alias("b"), F.col("hashes").alias("_b")), "b")
+    both = F.size(F.array_intersect("_a", "_b"))
+    similar = written(joined.where(both >= similarity * (F.size("_a") + F.size("_b") - both)).select("a", "b"), "similar")
+    del own, joined
+    free_shuffles(spark)
+    return similar
+
+
+def fingerprint_pairs(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b: keys that connect all sets whose fingerprints link, by covering
+    masks (see ``links``); each fingerprint stands for its smallest key."""
+    heads = written(sets.groupBy("fp").agg(F.min("key").alias("head")), "fingerprints")
+    same = salted_lookup(sets.select("fp", "key").distinct(), heads, "fp", "key").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    near = links(heads.select("fp"), radius).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("_b")), "b")
+    return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).where("a != b")
+
+
 def similar_links(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """a, b: keys of similar sets (Jaccard, computed in full) that connect every
     similar pair, though they aren't all such pairs: sets that are connected
     already aren't compared. ``sets``: written ``shingle_sets``.
 
-    The prefix filter is exact, whatever the edit: two sets of similarity t share
-    one of the first n - ceil(t n) + 1 shingles of each, n being the size of the
-    set. First each bucket's head is compared with the others, which
-    connects a large group of near copies by few pairs; then all pairs in a
-    bucket that are still apart.
+    1. Covering masks link near fingerprints; linked sets are compared.
+    2. No radius bounds what a similarity of 0.8 does to a fingerprint (an added
+       passage moves many bits), so a search that is exact for Jaccard follows
+       for sets that are still apart. Two sets of similarity t share one of the
+       first n - ceil(t n) + 1 shingles of each, n being the size of the set.
+       Each bucket's head is compared with the others, which connects the copies
+       of one text by few pairs.
+    3. All pairs in a bucket that are still apart: in small buckets at once, in
+       large ones if their sketches leave them a chance.
     """
     spark = sets.sparkSession
-    found = sets.select("key", "hashes").mapInArrow(_prefixes(similarity, common_shingles(sets)), "bucket int, key long, size int, place int")
-    shared = written(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "bucket int, key long, size int, place int"), "buckets")
+    found = sets.select("key", "hashes").mapInArrow(_prefixes(similarity, common_shingles(sets)), "bucket int, key long, size int, place int, rare byte")
+    shared = written(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, found.schema), "buckets")
     del found
     free_shuffles(spark)
-    links = None
-    for full in (False, True):
-        roots = components(links) if links is not None else None
-        rows = shared.withColumn("root", F.col("key")) if roots is None else shared.join(roots, shared["key"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "key").alias("root"))
-        dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-        pairs = written(dealt.mapInArrow(_bucket_pairs(similarity, full), "a long, b long").distinct(), "near-pairs")
-        del rows, dealt
-        free_shuffles(spark)
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        wanted = written(keys, "wanted")  # of known size, so that few keys don't move all sets
-        del keys
-        own = written(sets.select("key", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "shingles")
-        free_shuffles(spark)
-        joined = pairs.join(own.select(F.col("key").alias("a"), F.col("hashes").alias("_a")), "a").join(own.select(F.col("key").alias("b"), F.col("hashes").alias("_b")), "b")
-        both = F.size(F.array_intersect("_a", "_b"))
-        similar = written(joined.where(both >= similarity * (F.size("_a") + F.size("_b") - both)).select("a", "b"), "similar")
-        del wanted, joined
-        free_shuffles(spark)
-        links = similar if links is None else links.unionByName(similar)
-    return links
+
+    def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+        roots = components(links)
+        return rows.join(roots, rows["key"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "key").alias("root"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+    links = _verified(sets, written(fingerprint_pairs(sets), "near-pairs"), similarity)
+    pairs = written(dealt(rooted(shared, links)).mapInArrow(_head_pairs(similarity), "a long, b long").distinct(), "near-pairs")
+    free_shuffles(spark)
+    links = links.unionByName(_verified(sets, pairs, similarity))
+    rows = rooted(shared, links)
+    apart = written(dealt(rows).mapInArrow(_apart, rows.schema.add("large", "boolean")), "apart")
+    del rows
+    free_shuffles(spark)
+    large = apart.where("large").drop("large")
+    sketches = written(_own(sets, large.select("key").distinct()).mapInArrow(_sketched, "key long, sketch binary"), "sketches")
+    free_shuffles(spark)
+    few = dealt(apart.where("not large").drop("large")).mapInArrow(_small_pairs(similarity), "a long, b long")
+    many = dealt(large.join(sketches, "key")).mapInArrow(_large_pairs(similarity), "a long, b long")
+    pairs = written(few.unionByName(many).distinct(), "near-pairs")
+    del few, many, large
+    free_shuffles(spark)
+    return links.unionByName(_verified(sets, pairs, similarity))
 
 
 def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

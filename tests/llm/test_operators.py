@@ -293,6 +293,20 @@ def test_copies_of_one_original(spark):
     assert all((i, 30) in every for i in range(30)) and len(every) < 30 * 20
 
 
+def test_copies_without_a_head(spark):
+    """A large group in which each copy is similar to a few others only: a chain."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    w, texts = [word() for _ in range(300)], []
+    for _ in range(40):
+        at = rng.randrange(285)
+        w[at : at + 15] = [word() for _ in range(15)]
+        texts.append(" ".join(w))
+    assert len(check_near_copies(spark, texts)) < 40 * 8
+
+
 def test_no_similar_pair_is_lost(spark):
     """Appended, prefixed, truncated and scattered edits."""
     import random
@@ -304,9 +318,32 @@ def test_no_similar_pair_is_lost(spark):
     assert len(every) > 60
 
 
-def test_covering_finds_every_link(spark):
+def test_sketches_never_hide_a_similar_pair():
+    from tessera.llm.simhash import differing, sketch
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (0, 1, 3, 40, 64, 150, 160, 700, 5000):
+        base = rng.integers(0, 2**32, n, dtype=np.uint32)
+        for share in (0, 0.02, 0.1, 0.5, 1):
+            own = base.copy()
+            own[: int(share * n)] = rng.integers(0, 2**32, int(share * n), dtype=np.uint32)
+            sets.append(np.unique(own[: n - int(share * n / 9)]))
+    data = [np.frombuffer(sketch(s), "<u8") for s in sets]
+    size = np.array([len(d) for d in data])
+    at = np.concatenate([[0], np.cumsum(size)[:-1]])
+    x, y = np.triu_indices(len(sets), 1)
+    least = differing(np.concatenate(data), at, size, x, y)
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x, y)])
+    assert (least <= apart).all() and (least >= 0.7 * apart)[size[x] == size[y]].mean() > 0.9
+
+
+@pytest.mark.parametrize("large", [4096, 3])
+def test_covering_finds_every_link(spark, monkeypatch, large):
+    from tessera.llm import simhash
     from tessera.llm.simhash import components, covering_masks, links
 
+    monkeypatch.setattr(simhash, "LARGE", large)
     masks = covering_masks()
     assert len(masks) == 15 and all(30 <= m.bit_count() <= 38 for m in masks)
     rng = np.random.default_rng(3)
