@@ -5,20 +5,23 @@ Equal windows of ``size`` bytes pick equal anchors (see ``winnow``), so the
 collection is dealt by anchor, and each task builds the Burrows-Wheeler
 transform and common prefixes of its strings column-wise (see
 ``collection_bwt``); windows with a common prefix of ``size`` bytes are
-neighbours in it. Equal runs are one string there, whatever their number: they
-are combined within a map task and again when they meet, and all but the
-earliest are removed whole.
+neighbours in it. The rows of the transform are files in the shared folder when
+there are many. Equal runs are one string there, whatever their number: they are
+combined within a map task and again when they meet, and all but the earliest
+are removed whole. Runs are equal if both their anchors and their digests are,
+128 bits in all; windows are compared byte by byte in the transform.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm.common import free_shuffles, text_or_empty, written
+from tessera.llm.common import free_shuffles, scratch_path, text_or_empty, written
 
 SIZE = 100
 #: Rows of a map task that are combined at once.
@@ -26,8 +29,8 @@ COMBINE = 400_000
 #: Strings of one anchor built together; a group with more is cut into parts,
 #: and what each part keeps is combined by the windows' content.
 GROUP = 2048
-#: Bytes of strings in one transform.
-BATCH = 1 << 20
+#: Bytes of strings in one transform: mostly all that a task has.
+BATCH = 8 << 20
 #: What a row says: a run (to be removed), a string of a whole group, one of a
 #: group in parts, a window kept by such a part.
 RUN, WHOLE, PART, KEPT = 1, 2, 3, 4
@@ -71,9 +74,9 @@ def _found_runs(size: int):
 
         def flush():
             cols = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            order = np.lexsort((cols["start"], cols["doc"], cols["digest"]))
+            order = np.lexsort((cols["start"], cols["doc"], cols["anchor"], cols["digest"]))
             cols = {k: v[order] for k, v in cols.items()}
-            again = np.concatenate([[False], cols["digest"][1:] == cols["digest"][:-1]])
+            again = np.concatenate([[False], (cols["digest"][1:] == cols["digest"][:-1]) & (cols["anchor"][1:] == cols["anchor"][:-1])])
             cols["kind"] = np.where(again, RUN, 0).astype(np.int32)
             cols["anchor"] = np.where(again, cols["digest"] ^ (cols["doc"] * 0x9E3779B1 + cols["start"]), cols["anchor"])  # spread what only passes through
             for k in range(0, len(order), 50_000):
@@ -156,7 +159,45 @@ def _group_runs(batches: Iterator) -> Iterator:
         yield give(PART if part else WHOLE)
 
 
-def _compare(size: int):
+def _contents(size: int):
+    """The strings of each document with their content."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from tessera.llm.wordcodec import byte_values
+
+        for batch in batches:
+            docs, data, own = batch.column("doc"), byte_values(batch.column("text")), batch.column("own")
+            for k in range(0, len(data), 200):
+                lists = own.slice(k, 200)
+                items, many = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                text = np.repeat(np.arange(k, k + len(many)), many)
+                start, n = items.field("start").to_numpy(), items.field("n").to_numpy()
+                content = [data[i][a:b] for i, a, b in zip(text.tolist(), start.tolist(), (start + n + size - 1).tolist())]
+                cols = {c: items.field(c) for c in ("grp", "part", "kind", "start")}
+                yield pa.RecordBatch.from_pydict(cols | {"doc": docs.take(pa.array(text)), "content": pa.array(content, pa.binary())})
+
+    return run
+
+
+def may_share(strings: list[bytes], groups: np.ndarray, size: int) -> np.ndarray:
+    """Whether a string may share a window with another one of its group. Equal
+    windows have the anchor at one place, with half of the window's other bytes
+    or more on its left or on its right; a string whose bytes there are like no
+    other's on either side shares none."""
+    from tessera.llm.winnow import GRAM, anchor_places
+
+    side = (size - GRAM + 1) // 2
+    places = anchor_places(strings, groups).tolist()
+    left = [(g, s[p - side : p + GRAM]) if p >= side else None for s, g, p in zip(strings, groups.tolist(), places)]
+    right = [(g, s[p : p + GRAM + side]) if 0 <= p <= len(s) - GRAM - side else None for s, g, p in zip(strings, groups.tolist(), places)]
+    n, m = Counter(left), Counter(right)
+    n[None] = m[None] = 0
+    return np.array([p < 0 or n[x] > 1 or m[y] > 1 for p, x, y in zip(places, left, right)], bool)
+
+
+def _compare(size: int, folder: str):
     """From strings in order of (group, part): the runs of windows that start
     earlier in another string, and the windows that parts of a group keep."""
 
@@ -165,13 +206,17 @@ def _compare(size: int):
 
         from tessera.llm.collection_bwt import equal_windows
 
-        held: list[tuple] = []  # content, doc, start, kind
+        held: list[tuple] = []  # content, doc, start, kind, group
         amount, last = 0, None
 
         def flush():
-            strings = [h[0] for h in held]
-            doc, start, kind = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 3))
-            string, offset, group = equal_windows(strings, size)
+            group, kind = (np.array([h[k] for h in held], np.int64) for k in (4, 3))
+            rest = np.flatnonzero((kind == PART) | may_share([h[0] for h in held], group, size)).tolist()
+            if not rest:
+                return
+            strings = [held[i][0] for i in rest]
+            doc, start, kind = (np.array([held[i][k] for i in rest], np.int64) for k in (1, 2, 3))
+            string, offset, group = equal_windows(strings, size, kind == PART, folder)
             if not len(string):
                 return
             place = np.unique(doc, return_inverse=True)[1][string] * (1 << 40) + start[string] + offset
@@ -201,7 +246,7 @@ def _compare(size: int):
                     yield from flush()
                     held, amount = [], 0
                 last = (group, part)
-                held.append((content, doc, start, kind))
+                held.append((content, doc, start, kind, group))
                 amount += len(content)
         if held:
             yield from flush()
@@ -222,10 +267,10 @@ def removed_runs(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     del found, dealt
     free_shuffles(spark)
     strings = marks.where(F.col("kind") != RUN)
-    content = F.substring(F.col("text").cast("binary"), F.col("start").cast("int") + 1, F.col("n") + (size - 1))
-    cut = strings.join(rows, "doc").select("grp", "part", "kind", "doc", "start", content.alias("content"))
+    own = strings.groupBy("doc").agg(F.collect_list(F.struct("grp", "part", "kind", "start", "n")).alias("own"))
+    cut = rows.join(own, "doc").mapInArrow(_contents(size), "grp long, part int, kind int, start long, doc long, content binary")
     dealt = cut.repartition("grp", "part").sortWithinPartitions("grp", "part")
-    seen = written(dealt.mapInArrow(_compare(size), "doc long, start long, n int, kind int, high long, low long"), "windows")
+    seen = written(dealt.mapInArrow(_compare(size, scratch_path(spark, "transform")), "doc long, start long, n int, kind int, high long, low long"), "windows")
     del cut, dealt
     free_shuffles(spark)
     order = F.row_number().over(Window.partitionBy("high", "low").orderBy("doc", "start"))

@@ -42,6 +42,14 @@ def _rolling(u: np.ndarray, gram: int) -> np.ndarray:
     return both if gram % 2 == 0 else both[: len(u) - gram + 1] * _ODD + u[gram - 1 :]
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """A mixed value of the 8 bytes from each place."""
+    x = data.astype(np.uint64)
+    for k in (1, 2, 4):
+        x = x[:-k] | x[k:] << np.uint64(8 * k)
+    return _mix(x + _ODD)
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     done = 1
     out = x
@@ -55,7 +63,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def runs(texts: list[bytes], size: int, gram: int = GRAM) -> dict[str, np.ndarray]:
     """The runs of all texts: ``text``, ``start`` (first window), ``n`` (windows),
     ``anchor`` (hash of the k-gram), ``digest`` (of the run's bytes and of the
-    k-gram's place in them)."""
+    k-gram's place in them). Runs are told apart by both, 128 bits. The digest
+    is a polynomial of mixed 8-byte words, as one of single bytes has known
+    strings that meet."""
     parts: list[dict[str, np.ndarray]] = []
     held: list[tuple[int, int, bytes]] = []
     total = 0
@@ -80,6 +90,28 @@ def runs(texts: list[bytes], size: int, gram: int = GRAM) -> dict[str, np.ndarra
     return {k: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in names}
 
 
+def anchor_places(strings: list[bytes], anchors: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Where each run's k-gram lies in the run's bytes: where it first occurs, as
+    the windows would have picked an earlier one. -1 if it doesn't occur."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    ends = np.cumsum(sizes)
+    out = np.full(len(strings), -1, np.int64)
+    k = 0
+    while k < len(strings):
+        to = max(k + 1, int(np.searchsorted(ends, ends[k] - sizes[k] + SLICE, "right")))
+        data = np.frombuffer(b"".join(strings[k:to]), np.uint8)
+        if len(data) >= gram:
+            grams = _mix(_rolling(_BYTES[data], gram)).view(np.int64)
+            begin = ends[k:to] - sizes[k:to] - (ends[k] - sizes[k])
+            hits = np.flatnonzero(grams == np.repeat(anchors[k:to], sizes[k:to])[: len(grams)])
+            owner = np.searchsorted(begin, hits, "right") - 1
+            inside = hits + gram <= begin[owner] + sizes[k:to][owner]
+            owner, first = np.unique(owner[inside], return_index=True)
+            out[k + owner] = hits[inside][first] - begin[owner]
+        k = to
+    return out
+
+
 def _runs(held: list[tuple[int, int, bytes]], size: int, gram: int) -> dict[str, np.ndarray]:
     data = np.frombuffer(b"".join(x for _, _, x in held), np.uint8)
     sizes = np.array([len(x) for _, _, x in held])
@@ -94,8 +126,9 @@ def _runs(held: list[tuple[int, int, bytes]], size: int, gram: int) -> dict[str,
     new[0], new[1:] = True, (pick[1:] != pick[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new & inside)
     ends = np.flatnonzero(inside & ~np.concatenate([inside[1:] & ~new[1:], [False]])) + 1
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(u * _UP[: len(u)])])
-    whole = (sums[ends + size - 1] - sums[first]) * _DOWN[first]
+    words = _words(data)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * _UP[: len(words)])])
+    whole = (sums[ends + size - 8] - sums[first]) * _DOWN[first]
     place = (pick[first] - first).astype(np.uint64)
     digest = _mix(whole ^ _mix(place * np.uint64(1 << 20) + (ends - first).astype(np.uint64)))
     which = owner[first]

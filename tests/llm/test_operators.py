@@ -574,6 +574,27 @@ def test_group_runs_in_parts():
     del rng
 
 
+def test_strings_that_share_nothing_are_left_out():
+    import random
+
+    from tessera.llm.suffix_dedup import may_share
+    from tessera.llm.winnow import runs
+
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("ab c") for _ in range(n)).encode()
+    shared = [line(n) for n in (40, 90, 100, 101, 160, 400)]
+    texts = [line(rng.randint(0, 150)) + rng.choice(shared) + line(rng.randint(0, 150)) for _ in range(300)]
+    got = runs(texts, 100)
+    strings = [texts[t][s : s + n + 99] for t, s, n in zip(got["text"], got["start"], got["n"])]
+    windows = [{s[i : i + 100] for i in range(len(s) - 99)} for s in strings]
+    may = may_share(strings, got["anchor"], 100)
+    by = {}
+    for k, a in enumerate(got["anchor"].tolist()):
+        by.setdefault(a, []).append(k)
+    share = {k for own in by.values() for k in own if any(windows[k] & windows[j] for j in own if j != k)}
+    assert share and all(may[k] for k in share) and may.sum() < 2 * len(share)
+
+
 def test_parts_meet_by_content(spark, monkeypatch):
     from tessera.llm import suffix_dedup as s
 
@@ -583,22 +604,38 @@ def test_parts_meet_by_content(spark, monkeypatch):
     check_repeats(s.cut_repeats(frame).collect(), list(enumerate(texts)))
 
 
-def test_transform_in_files():
+def test_transform_in_files(tmp_path, monkeypatch):
     import random
 
-    from tessera.llm.collection_bwt import build
+    from tessera.llm import collection_bwt
+    from tessera.llm.collection_bwt import build, equal_windows
+
+    monkeypatch.setattr(collection_bwt, "BLOCK", 3)
 
     rng = random.Random(1)
     for trial in range(60):
         strings = [bytes(rng.choice([97, 98, 255]) if trial % 3 else rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 6))]
-        rows = build(strings, 5, memory_rows=8 if trial % 2 else 1 << 20)
-        suffixes = [strings[s][len(strings[s]) - n :] for s, n in zip(rows["string"], rows["length"])]
+        folder, few = (f"file://{tmp_path}", 8) if trial % 2 else (None, 1 << 20)
+        rows = build(strings, 5, folder, few)
+        ends = np.cumsum([len(x) for x in strings])
+        string = [k if o == ends[k] and rows["prefix"][i] == 0 and i < len(strings) else int(np.searchsorted(ends, o, "right")) for i, (o, k) in enumerate(zip(rows["origin"], [*range(len(strings)), *[0] * len(rows["origin"])]))]
+        length = [int(ends[s] - o) for s, o in zip(string, rows["origin"])]
+        suffixes = [strings[s][len(strings[s]) - n :] for s, n in zip(string, length)]
         assert suffixes == sorted(suffixes) and len(suffixes) == sum(len(x) + 1 for x in strings)
+        alone = np.array([k % 3 == 0 for k in range(len(strings))])
+        for size in (1, 2, 4):
+            got = list(zip(*(x.tolist() for x in equal_windows(strings, size, alone, folder, few))))
+            windows = [(k, i, s[i : i + size]) for k, s in enumerate(strings) for i in range(len(s) - size + 1)]
+            count = {w: sum(w == x for _, _, x in windows) for _, _, w in windows}
+            assert sorted((k, i) for k, i, _ in got) == sorted((k, i) for k, i, w in windows if count[w] > 1 or alone[k])
+            names = {}
+            assert all(names.setdefault(g, strings[k][i : i + size]) == strings[k][i : i + size] for k, i, g in got) and len(set(names.values())) == len(names)
+        assert not list(tmp_path.iterdir())
         for k in range(1, len(suffixes)):
             a, b = suffixes[k - 1 : k + 1]
             same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
             assert rows["prefix"][k] == min(5, same)
-        for symbol, s, n in zip(rows["symbol"], rows["string"], rows["length"]):
+        for symbol, s, n in zip(rows["symbol"], string, length):
             assert symbol == (strings[s][-n - 1] + 1 if n < len(strings[s]) else 0)
 
 
