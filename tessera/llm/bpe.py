@@ -14,8 +14,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     Each match of ``pattern`` is encoded by itself with the ranks in
     ``ranks_path``; no special tokens. ``decoded`` comes from the ids alone and
-    equals the text's UTF-8 bytes. Null text is empty: no ids. Rows stay where
-    they are, repeated rows included; other columns are ignored.
+    equals the text's UTF-8 bytes. Null text is empty: no ids; null ids stay
+    null. Rows stay where they are, repeated rows included; other columns are
+    ignored; a very long text is encoded whole; an empty table gives no rows.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -38,7 +39,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
 def encode_offsets(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, starts, ends: for every id the characters of the text it
-    covers. A character whose bytes are split belongs to each of its ids."""
+    covers. A character whose bytes are split belongs to each of its ids. Null
+    and empty texts have empty lists; null ids and repeated rows stay as they
+    are; other columns are ignored; an empty table gives no rows."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -60,7 +63,8 @@ def encode_offsets(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, text: packed ids back to text. Bytes are joined first, so
     characters split over ids come together; what isn't UTF-8 then becomes
-    U+FFFD."""
+    U+FFFD. Null ids are no text: empty. Repeated rows stay; other columns are
+    ignored; an empty table gives no rows."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np

@@ -16,14 +16,16 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset, and
+    everything runs on one machine, a temporary folder is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jvm_dir.get() if jvm_dir.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -7,7 +7,6 @@ descending length, each to the cheapest sequence with room.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -18,10 +17,9 @@ from tessera.llm.common import text_or_empty
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: Linear and quadratic attention cost of a piece: LINEAR * n + SQUARE * n * n.
 LINEAR, SQUARE = 1.0, 1.0 / 1024
-#: Ids gathered by a task before it packs them; bounds its memory.
-BLOCK_TOKENS = 1 << 20
-#: Sequences looked at, cheapest first, for one that holds a piece uncut.
-LOOK = 6
+#: Ids gathered by a task before it packs them; bounds its memory. Documents are
+#: in descending length within such a block.
+BLOCK_TOKENS = 1 << 22
 
 
 def capacities(total: int, max_tokens: int, last: bool) -> list[int]:
@@ -37,10 +35,15 @@ def capacities(total: int, max_tokens: int, last: bool) -> list[int]:
 def pack_block(lengths: list[int], rooms: list[int], max_tokens: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
     """Place items of the given lengths in sequences with the given rooms.
 
+    Full sequences are cut off long items first. The others go in descending
+    length, each to the sequence of least cost with room for all of it; where
+    none has, to the one with most room, and the rest of it goes on likewise.
     Returns the pieces (item, start, length, sequence, offset) and what found
     no room (item, start, length). Every room is filled when the lengths reach
     the sum of the rooms.
     """
+    import numpy as np
+
     pieces, rest, left = [], [], list(rooms)
     whole = iter([k for k, room in enumerate(rooms) if room == max_tokens])
     order: list[tuple[int, int, int]] = []
@@ -52,25 +55,22 @@ def pack_block(lengths: list[int], rooms: list[int], max_tokens: int) -> tuple[l
         if start < n:
             order.append((n - start, item, start))
     order.sort(key=lambda x: (-x[0], x[1]))
-    heap = [(0.0, k) for k, room in enumerate(left) if room]
-    heapq.heapify(heap)
+    room, cost = np.array(left, np.int64), np.zeros(len(left))
     for n, item, start in order:
-        while n and heap:
-            seen = [heapq.heappop(heap)]
-            while left[seen[-1][1]] < n and len(seen) < LOOK and heap:
-                seen.append(heapq.heappop(heap))
-            at = len(seen) - 1 if left[seen[-1][1]] >= n else max(range(len(seen)), key=lambda i: (left[seen[i][1]], -i))
-            cost, k = seen.pop(at)
-            for x in seen:
-                heapq.heappush(heap, x)
-            take = min(n, left[k])
-            pieces.append((item, start, take, k, rooms[k] - left[k]))
-            left[k] -= take
+        while n:
+            fits = room >= n
+            if fits.any():
+                k = int(np.where(fits, cost, np.inf).argmin())
+            else:
+                k = int(room.argmax()) if len(room) else -1
+                if k < 0 or not room[k]:
+                    rest.append((item, start, n))
+                    break
+            take = min(n, int(room[k]))
+            pieces.append((item, start, take, k, rooms[k] - int(room[k])))
+            room[k] -= take
+            cost[k] += LINEAR * take + SQUARE * take * take
             n, start = n - take, start + take
-            if left[k]:
-                heapq.heappush(heap, (cost + LINEAR * take + SQUARE * take * take, k))
-        if n:
-            rest.append((item, start, n))
     return pieces, rest
 
 

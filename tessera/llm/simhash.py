@@ -658,7 +658,9 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but those of which a similar document (directly, or
     through others) has a smaller id. Rows with a null id stay; rows with one id
-    and different texts are judged each by its text."""
+    and different texts are judged each by its text, and repeated rows stay or
+    go together. Texts without words (null, empty) are alike, so one id of them
+    stays. Other columns stay as they are; an empty table gives no rows."""
     sets = written(shingle_sets(docs, shingle, id_col, text_col), "shingle-sets")
     roots = components(similar_links(sets, similarity)).withColumnRenamed("node", "key")
     rows = salted_lookup(sets.select("doc_id", "place", "key"), roots, "key", "doc_id").select("doc_id", "place", F.coalesce("root", "key").alias("root"))

@@ -127,7 +127,8 @@ def _group_runs(batches: Iterator) -> Iterator:
             out = {n: np.concatenate([out[n], v[same]]) for n, v in cols.items()}
             cols = {n: v[~same] for n, v in cols.items()}
         if len(out["n"]):
-            yield rows(out["doc"], out["start"], out["n"], out["anchor"], np.zeros(len(out["n"])), np.full(len(out["n"]), RUN))
+            none = np.zeros(len(out["n"]), np.int64)
+            yield rows(out["doc"], out["start"], out["n"], none, none, none + RUN)
         size = len(cols["n"])
         if not size:
             continue
@@ -330,8 +331,10 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_
 
 
 def drop_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the remaining text of each document. A character that is
-    left without some of its bytes goes as well."""
+    """``docs`` with the remaining text of each document, other columns as they
+    are. A character that is left without some of its bytes goes as well; null
+    texts become empty; null ids, repeated ids and repeated rows are as in
+    ``cut_repeats``; an empty table stays as it is."""
     if docs.isEmpty():
         return docs
     others = [c for c in docs.columns if c != text_col]

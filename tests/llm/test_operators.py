@@ -418,6 +418,53 @@ def test_url_trees_learn(spark):
     assert np.mean([(r["verdict"] == "block") == bool(new[r["page_id"]][1]) for r in got]) > 0.95
 
 
+def test_scores_against_a_plain_forward_pass():
+    import math
+
+    from tessera.llm import quality_model as q
+
+    rng = np.random.default_rng(7)
+    shape = {"E": (q.WIDTH, q.HIDDEN), "e": (q.HIDDEN,), "V": (q.HIDDEN, q.GATE), "U": (q.HIDDEN, q.GATE), "w": (q.GATE,), "c": (q.HIDDEN,), "b": (1,)}
+    p = {k: rng.standard_normal(v).astype(np.float32) for k, v in shape.items()}
+    texts = [(t or "").encode() for t in brute.ODD] + [b"some words and some more " * 60]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for text, got in zip(texts, q.Model(p, 0.25).scores(texts)):
+        gates, values = [], []
+        for x in q.passage_features([text])[0]:
+            h = [math.tanh(sum(float(a) * float(b) for a, b in zip(x, p["E"][:, k])) + float(p["e"][k])) for k in range(q.HIDDEN)]
+            dot = lambda m, k: sum(a * float(b) for a, b in zip(h, m[:, k]))  # noqa: E731, B023
+            gates.append(sum(math.tanh(dot(p["V"], k)) * sigmoid(dot(p["U"], k)) * float(p["w"][k]) for k in range(q.GATE)))
+            values.append(sum(a * float(b) for a, b in zip(h, p["c"])))
+        weight = [math.exp(g - max(gates)) for g in gates]
+        want = sigmoid(sum(a * b for a, b in zip(weight, values)) / sum(weight) + float(p["b"][0]) + 0.25)
+        assert abs(got - want) < 1e-4
+
+
+def test_passage_features_against_counts():
+    from tessera.llm import quality_model as q
+
+    for text in [(t or "").encode() for t in brute.ODD] + [b"Some words, and some MORE words! " * 40]:
+        x, first = q.passage_features([text])
+        for j in range(int(first[1])):
+            part, after = text[j * q.PASSAGE : (j + 1) * q.PASSAGE], text[(j + 1) * q.PASSAGE : (j + 1) * q.PASSAGE + 1] or b"\n"
+            kinds = [int(q._KIND[b]) for b in part + after]
+            counts = np.zeros(256)
+            for a, b in zip(kinds, kinds[1:]):
+                counts[a * 16 + b] += 1
+            assert np.allclose(x[j][:256], np.sqrt(counts / max(1, len(part))), atol=1e-3)
+
+
+def test_url_trees_on_hosts_held_out(spark):
+    from tessera.llm.url_filter import held_out_accuracy, label_by_host
+
+    rng = np.random.default_rng(1)
+    urls = [(f"http://{'free-bets' if i % 5 == 0 else 'www.site'}{'' if i % 5 == 0 else i % 40}.{['com', 'net'][i % 2]}/{'en' if i % 3 else 'promo'}/{int(rng.integers(9000))}",) for i in range(800)]
+    frame = spark.createDataFrame([*urls, *urls, (None,)], "url string")
+    assert label_by_host(frame).where("label = 1").count() == 320
+    share = held_out_accuracy(label_by_host(frame))
+    assert set(share) == {0, 1} and min(share.values()) > 0.95
+
+
 def test_quality_model(spark, sf_dir):
     from tessera.llm.quality_model import accepted, classify
 
@@ -640,9 +687,10 @@ def test_transform_in_files(tmp_path, monkeypatch):
 
 
 def test_token_rollup(spark, tmp_path):
+    from tessera.llm import queries
     from tessera.llm.token_rollup import TokenStore
 
-    store = TokenStore(spark, f"file://{tmp_path}/store")
+    store = TokenStore(spark, f"file://{tmp_path}/store", queries.PATTERNS)
     change = lambda rows: spark.createDataFrame(rows, "op string, doc_id long, text string, source string, lang string, version string")
     total = lambda: sorted((tuple(r) for r in store.totals().collect()), key=str)
     first = change([("insert", 1, "a b c", "s", "en", "words-1"), ("insert", 2, None, "s", None, "words-1"), ("insert", 3, "x y", "t", "de", "words-1"), ("insert", None, "x", "t", "de", "words-1")])
@@ -652,18 +700,22 @@ def test_token_rollup(spark, tmp_path):
     assert store.apply(2, second) and not store.apply(2, second)
     assert total() == sorted([("s", "en", "pieces-2", 1, 3), ("s", None, "words-1", 1, 0)], key=str)
     assert store.apply(3, change([("insert", 1, "one more", "u", "en", "words-1")])) and ("u", "en", "words-1", 1, 2) in total()
-    again = TokenStore(spark, f"file://{tmp_path}/store")
-    assert again.committed() == [1, 2, 3] and again.entries().count() == 3
+    store.compact()
+    again = TokenStore(spark, f"file://{tmp_path}/store", queries.PATTERNS)
+    assert again.committed() == [1, 2, 3] and again.entries().count() == 3 and again.totals().count() == len(total()) == 3
     assert store.apply(4, change([])) and len(total()) == 3
 
 
 def test_half_a_batch_does_not_count(spark, tmp_path):
+    from tessera.llm import queries
     from tessera.llm.token_rollup import TokenStore
 
-    store = TokenStore(spark, f"file://{tmp_path}/store")
+    store = TokenStore(spark, f"file://{tmp_path}/store", queries.PATTERNS)
     row = [("insert", 1, "a b c", "s", "en", "words-1")]
     frame = spark.createDataFrame(row, "op string, doc_id long, text string, source string, lang string, version string")
     store.apply(1, frame)
+    assert not store._commit("1", folder="another", batches=[1], base=False)  # a second writer at the same time
     mark, fs = store._file("commits/1")
     fs.delete(mark, False)  # as if the driver had died before the commit
+    fs.create(mark, True).close()  # or over it
     assert store.totals().count() == 0 and store.apply(1, frame) and store.totals().first()["n_tokens"] == 3

@@ -87,5 +87,5 @@ def test_operators_on_nasty_rows(spark, sf_dir):
         assert packing.pack_documents(frame, q.vocabulary(q.WORD_TOKENIZER)).count() >= n
         import tempfile
 
-        totals = token_rollup.maintained_totals(frame, f"file://{tempfile.mkdtemp()}/s").agg({"n_docs": "sum"}).first()[0] or 0
+        totals = token_rollup.maintained_totals(frame, f"file://{tempfile.mkdtemp()}/s", q.PATTERNS).agg({"n_docs": "sum"}).first()[0] or 0
         assert totals == frame.select("doc_id").distinct().where("doc_id is not null").count()
