@@ -58,12 +58,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` gave, once nothing will read them again."""
+    for table in tables:
+        remove_path(table.sparkSession, table.scratch)
 
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now: it does so when
-    the driver's JVM collects what referred to them."""
+    the driver's JVM collects what referred to them. On one machine, where
+    tests run, that isn't worth its time."""
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

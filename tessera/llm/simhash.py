@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import free_shuffles, remove_path, salted_lookup, scratch_path, text_or_empty, written
+from tessera.llm.common import drop_written, free_shuffles, remove_path, salted_lookup, scratch_path, text_or_empty, written
 
 SEED = 42
 RADIUS = 3
@@ -282,8 +282,9 @@ def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
         import pyarrow as pa
         import xxhash
 
-        from tessera.llm.wordcodec import byte_values
+        from tessera.llm.wordcodec import byte_values, release
 
+        release()
         for batch in batches:
             data = byte_values(batch.column(2))
             for k in range(0, len(data), 500):
@@ -567,24 +568,32 @@ def _sketched(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 500), pa.array([sketch(values[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())], ["key", "sketch"])
 
 
+#: Keys that may be broadcast, once counted (some 50 MB in a hash table).
+FEW = 1 << 20
+
+
 def _own(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, hashes: the sets with one of the distinct ``keys``, which are written
-    first, so that their size is known and few of them don't move all sets."""
+    """key, hashes: the sets with one of the distinct ``keys``, as a written
+    table. Keys are written and counted first: while they are few they are
+    broadcast, so that not all sets are moved."""
     wanted = written(keys, "wanted")
-    return sets.select("key", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    side = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    out = written(sets.select("key", "hashes").join(side, "key", "left_semi").dropDuplicates(["key"]), "shingles")
+    drop_written(wanted)
+    free_shuffles(sets.sparkSession)
+    return out
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of the written ``pairs`` of keys, those whose sets are similar: their
-    Jaccard similarity is computed in full."""
-    spark = sets.sparkSession
-    own = written(_own(sets, pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()), "shingles")
-    free_shuffles(spark)
+    """Of the ``pairs`` of keys, a written table that is removed afterwards,
+    those whose sets are similar: their Jaccard similarity is computed in full."""
+    own = _own(sets, pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
     joined = pairs.join(own.select(F.col("key").alias("a"), F.col("hashes").alias("_a")), "a").join(own.select(F.col("key").alias("b"), F.col("hashes").alias("_b")), "b")
     both = F.size(F.array_intersect("_a", "_b"))
     similar = written(joined.where(both >= similarity * (F.size("_a") + F.size("_b") - both)).select("a", "b"), "similar")
-    del own, joined
-    free_shuffles(spark)
+    del joined
+    drop_written(own, pairs)
+    free_shuffles(sets.sparkSession)
     return similar
 
 
@@ -613,6 +622,7 @@ def similar_links(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
        large ones if their sketches leave them a chance.
     """
     spark = sets.sparkSession
+    links = _verified(sets, written(fingerprint_pairs(sets), "near-pairs"), similarity)
     found = sets.select("key", "hashes").mapInArrow(_prefixes(similarity, common_shingles(sets)), "bucket int, key long, size int, place int, rare byte")
     shared = written(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, found.schema), "buckets")
     del found
@@ -625,21 +635,23 @@ def similar_links(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket").sortWithinPartitions("bucket")
 
-    links = _verified(sets, written(fingerprint_pairs(sets), "near-pairs"), similarity)
     pairs = written(dealt(rooted(shared, links)).mapInArrow(_head_pairs(similarity), "a long, b long").distinct(), "near-pairs")
     free_shuffles(spark)
     links = links.unionByName(_verified(sets, pairs, similarity))
     rows = rooted(shared, links)
     apart = written(dealt(rows).mapInArrow(_apart, rows.schema.add("large", "boolean")), "apart")
     del rows
+    drop_written(shared)
     free_shuffles(spark)
     large = apart.where("large").drop("large")
-    sketches = written(_own(sets, large.select("key").distinct()).mapInArrow(_sketched, "key long, sketch binary"), "sketches")
-    free_shuffles(spark)
+    own = _own(sets, large.select("key").distinct())
+    sketches = written(own.mapInArrow(_sketched, "key long, sketch binary"), "sketches")
+    drop_written(own)
     few = dealt(apart.where("not large").drop("large")).mapInArrow(_small_pairs(similarity), "a long, b long")
     many = dealt(large.join(sketches, "key")).mapInArrow(_large_pairs(similarity), "a long, b long")
     pairs = written(few.unionByName(many).distinct(), "near-pairs")
     del few, many, large
+    drop_written(apart, sketches)
     free_shuffles(spark)
     return links.unionByName(_verified(sets, pairs, similarity))
 
@@ -661,9 +673,12 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     and different texts are judged each by its text, and repeated rows stay or
     go together. Texts without words (null, empty) are alike, so one id of them
     stays. Other columns stay as they are; an empty table gives no rows."""
+    free_shuffles(docs.sparkSession)  # of what came before
     sets = written(shingle_sets(docs, shingle, id_col, text_col), "shingle-sets")
+    keys = written(sets.select("doc_id", "place", "key"), "shingle-keys")
     roots = components(similar_links(sets, similarity)).withColumnRenamed("node", "key")
-    rows = salted_lookup(sets.select("doc_id", "place", "key"), roots, "key", "doc_id").select("doc_id", "place", F.coalesce("root", "key").alias("root"))
+    drop_written(sets)
+    rows = salted_lookup(keys, roots, "key", "doc_id").select("doc_id", "place", F.coalesce("root", "key").alias("root"))
     least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
     gone = salted_lookup(rows, least, "root", "doc_id").where("doc_id > least").select(F.col("doc_id").alias("_gone"), F.col("place").alias("_place")).distinct()
     return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_place")), "left_anti")

@@ -67,8 +67,9 @@ def _found_runs(size: int):
         import pyarrow as pa
 
         from tessera.llm.winnow import runs
-        from tessera.llm.wordcodec import byte_values
+        from tessera.llm.wordcodec import byte_values, release
 
+        release()
         held: list[dict[str, np.ndarray]] = []
         count = 0
 
@@ -259,6 +260,7 @@ def removed_runs(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     """key, start, n: the runs of windows to be removed, ``n`` windows from byte
     ``start``. ``key`` is that of ``_keyed``; rows that share it count once."""
     spark = docs.sparkSession
+    free_shuffles(spark)  # of what came before
     rows = _keyed(docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")), places, "id").select(F.col("key").alias("doc"), "text")
     if places is not None:
         rows = rows.dropDuplicates(["doc"])

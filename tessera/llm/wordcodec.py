@@ -211,6 +211,13 @@ def codec(path: str, pattern: str | None = None) -> WordCodec:
     return _kept[path, pattern]
 
 
+def release() -> None:
+    """Empty the tables of this worker's codecs: another operator needs the memory."""
+    for known in _kept.values():
+        for pieces in (known.pieces, known.parts, known.after):
+            pieces.clear()
+
+
 def byte_values(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null is empty."""
     import pyarrow as pa
