@@ -55,7 +55,7 @@ class Corpus:
 
     @property
     def file_edges(self) -> DataFrame:
-        rows = self.table("lineitem").where("l_linenumber = 1")
+        rows = self.table("lineitem")
         name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
         return rows.select(name("l_orderkey").alias("src"), name("l_partkey").alias("dst")).distinct()
 
@@ -65,7 +65,7 @@ class Corpus:
         tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
         nations = self.table("nation").select(tag("n", "n_nationkey").alias("src"), tag("r", "n_regionkey").alias("dst"))
         suppliers = self.table("supplier").select(tag("s", "s_suppkey").alias("src"), tag("n", "s_nationkey").alias("dst"))
-        parts = self.table("lineitem").where("l_linenumber = 1").select(tag("p", "l_partkey").alias("src"), tag("s", "l_suppkey").alias("dst"))
+        parts = self.table("lineitem").select(tag("p", "l_partkey").alias("src"), tag("s", "l_suppkey").alias("dst")).distinct()
         return nations.unionByName(suppliers).unionByName(parts)
 
     @property

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Fixed values of FNV-1a 64.
@@ -16,11 +15,21 @@ def fnv1a_bytes(data: bytes) -> str:
     return f"{h:016x}"
 
 
-def _fnv1a(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else fnv1a_bytes(x if isinstance(x, bytes) else x.encode()))
-
-
 def fnv1a(column: Column) -> Column:
     """For equality with stored fingerprints; where none is needed, ``xxhash64``
-    stays in the JVM."""
-    return F.pandas_udf(_fnv1a, "string")(column)
+    is cheaper. The state is two halves of 32 bits, as products of whole
+    numbers beyond 64 bits are errors: the prime is 2**40 + LOW, so the low half
+    times 256 is carried into the high one."""
+    data = column if isinstance(column, Column) else F.col(column)
+    digits = F.regexp_extract_all(F.hex(data.cast("binary")), F.lit(".."), F.lit(0))
+    low_prime, half = F.lit(PRIME - (1 << 40)), F.lit(0xFFFFFFFF)
+
+    def step(h: Column, pair: Column) -> Column:
+        low = h["low"].bitwiseXOR(F.conv(pair, 16, 10).cast("long"))
+        product = low * low_prime
+        high = h["high"] * low_prime + F.shiftrightunsigned(product, 32) + low * 256
+        return F.struct(high.bitwiseAND(half).alias("high"), product.bitwiseAND(half).alias("low"))
+
+    start = F.struct(F.lit(OFFSET >> 32).alias("high"), F.lit(OFFSET & 0xFFFFFFFF).alias("low"))
+    shown = lambda h: F.lower(F.concat(F.lpad(F.hex(h["high"]), 8, "0"), F.lpad(F.hex(h["low"]), 8, "0")))
+    return F.when(data.isNotNull(), F.aggregate(digits, start, step, shown))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.plans.scratch import kept
@@ -18,7 +20,7 @@ def reverse_pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("file"), F.col("src").alias("importer"))
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, file, hop: all files that import ``start`` directly or through
     others, with the least number of steps; the start itself is left out.
 
@@ -29,7 +31,7 @@ def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> Data
     pairs = kept(edges.select("src", "dst").distinct())
     frontier = kept(starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("file")))
     rounds, seen = [], frontier
-    for hop in range(1, max_rounds + 1):
+    for hop in count(1):
         reached = frontier.join(pairs, frontier["file"] == pairs["dst"]).select("start", F.col("src").alias("file")).distinct()
         frontier = kept(reached.join(seen, ["start", "file"], "left_anti"))
         if frontier.isEmpty():

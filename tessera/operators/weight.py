@@ -104,15 +104,15 @@ def static_weight(pkg: Column, role: Column, weights: dict[str, float]) -> Colum
     return F.coalesce(F.try_element_at(table, F.coalesce(pkg, F.lit(""))), F.try_element_at(table, role), F.lit(1.0))
 
 
-def file_weights(files: DataFrame, packages: DataFrame, queries: DataFrame, config: Config = Config()) -> DataFrame:
-    """query_id, file, weight, for every file and query. ``files``: file, pkg."""
+def file_weights(found: DataFrame, files: DataFrame, packages: DataFrame, queries: DataFrame, config: Config = Config()) -> DataFrame:
+    """query_id, file, weight, for the pairs (query_id, file) of ``found`` only.
+    ``files``: file, pkg."""
     mult = layer_multipliers(queries, config)
     roles = packages.select(F.col("name").alias("pkg"), resolve_role(F.col("role"), infer_role(F.col("name"), F.col("dir"), F.col("deps"))).alias("_prole"))
     rows = files.select("file", "pkg").join(roles, "pkg", "left").withColumn("_prole", F.coalesce("_prole", F.lit("unknown")))
     own = path_role(F.col("file"))
     rows = rows.withColumn("role", F.when(own != "unknown", own).otherwise(F.col("_prole"))).withColumn("_w", static_weight(F.col("pkg"), F.col("_prole"), config.package_weights))
-    per_query = queries.select("query_id").distinct()
-    joined = rows.crossJoin(per_query).join(mult.select("query_id", "role", "mult"), ["query_id", "role"], "left")
+    joined = found.select("query_id", "file").distinct().join(rows, "file").join(mult.select("query_id", "role", "mult"), ["query_id", "role"], "left")
     return joined.select("query_id", "file", (F.col("_w") * F.coalesce("mult", F.lit(1.0))).alias("weight"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.functions.tables import LAYER_TERMS, SEGMENT_ROLES, STOPWORDS
+from tessera.functions.tables import LAYER_TERMS, ROLE_DEPENDENCIES, ROLE_NAMES, SEGMENT_ROLES, STOPWORDS
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -50,8 +50,8 @@ EDGES = """
 edges AS (
   SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
-  UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_linenumber = 1)"""
-FILE_EDGES = "edges AS (SELECT DISTINCT 'f' || l_orderkey AS src, 'f' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 1)"
+  UNION ALL SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"""
+FILE_EDGES = "edges AS (SELECT DISTINCT 'f' || l_orderkey AS src, 'f' || l_partkey AS dst FROM lineitem)"
 SEEDS = "seeds AS (SELECT n_nationkey AS query_id, 'n' || n_nationkey AS file FROM nation)"
 
 ROLE_CASE = " ".join(f"WHEN x IN ({', '.join(repr(n) for n in names)}) THEN '{role}'" for role, names in SEGMENT_ROLES.items())
@@ -65,6 +65,16 @@ SUFFIX = """CASE
   WHEN regexp_matches({0}, '^.+\\.[^.]*$') THEN '.' || regexp_extract({0}, '\\.([^.]*)$', 1)
   ELSE {0} END"""
 
+BY_DEPS = " ".join("WHEN len(list_filter(deps, lambda d: " + " OR ".join(f"starts_with(d, '{p}')" for p in ps) + f")) > 0 THEN '{role}'" for role, ps in ROLE_DEPENDENCIES.items())
+BY_NAME = " ".join("WHEN " + " OR ".join(f"contains(lower(name || ' ' || dir), '{p}')" for p in ps) + f" THEN '{role}'" for role, ps in ROLE_NAMES.items())
+PART_ROLES = f"""
+packages AS (
+  SELECT p_partkey, (['services/api', 'web-ui', 'Common-types', 'infra', 'Mobile', 'sql', 'docs', 'lambda'])[p_partkey % 8 + 1] AS name, 'x/' || lower(p_name) AS dir,
+         CASE p_size % 5 WHEN 0 THEN ['zod', 'react-dom'] WHEN 1 THEN ['express'] WHEN 2 THEN CAST([] AS VARCHAR[]) WHEN 3 THEN ['@nestjs/core', 'expo'] ELSE ['vue-router', 'left-pad'] END AS deps,
+         (['unknown', NULL, 'backend', 'docs'])[p_partkey % 4 + 1] AS role FROM part),
+guessed AS (SELECT *, CASE {BY_DEPS} END AS by_deps, CASE {BY_NAME} ELSE 'unknown' END AS by_name FROM packages),
+roles AS (SELECT *, coalesce(by_deps, by_name) AS inferred, coalesce(nullif(role, 'unknown'), by_deps, by_name) AS resolved FROM guessed)"""
+
 LAYERS = "layer_terms(role, term) AS (VALUES " + ", ".join(f"('{r}', '{t}')" for r, ts in LAYER_TERMS.items() for t in ts) + ")"
 
 
@@ -144,12 +154,23 @@ SQL: dict[str, str] = {
     "vector_batch": f"WITH {vectors(10, 'q.vec_id % 20 = 0')} SELECT query_id, id, round(score, 6) AS score, rank FROM vec",
     "vector_bulk": f"WITH {vectors(10, 'q.vec_id % 20 = 0')} SELECT query_id, id, round(score, 6) AS score, rank FROM vec",
     "first_per_group_rank": f"WITH {vectors(80, 'q.vec_id % 20 = 0')} SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS rank FROM vec JOIN embeddings e ON e.vec_id = vec.id GROUP BY query_id, label",
-    "symbol_match": f"WITH {Q.replace('benchmark', '''(SELECT p_partkey AS item_id, 'where is ' || p_name || ' and the old ' || p_type AS text FROM part WHERE p_size = 7)''')}, {symbols()} SELECT query_id, file, score, exact FROM sym",
+    "symbol_match": f"WITH {Q.replace('benchmark', '''(SELECT p_partkey AS item_id, 'where is ' || p_name || ' and the old ' || p_type AS text FROM part WHERE p_partkey % 20 = 0)''')}, {symbols()} SELECT query_id, file, score, exact FROM sym",
     "rrf_fusion": f"WITH {DOCS}, {Q}, {FUSED} SELECT query_id, file, round(score, 6) AS score FROM fused",
     "weighted_fusion": f"WITH {DOCS}, {Q}, {FUSED}, {WEIGHTED} SELECT query_id, file, round(score, 6) AS score FROM weighted",
     "layer_multipliers": f"WITH q(query_id, text) AS (VALUES (1, 'add a database migration'), (2, 'renderScreen navigation and routes'), (3, 'nothing here'), (4, 'typed helpers in pages, serverless apiKey')), {layers()} SELECT query_id, role, hits, round(mult, 6) AS mult FROM mult",
     "path_roles": f"WITH {PATHS}, s AS (SELECT id, path, list_filter(string_split(path, '/'), lambda p: p <> '') AS parts FROM paths), r AS (SELECT id, path, list_filter(list_transform(list_reverse(parts[1:len(parts) - 1]), lambda x: CASE {ROLE_CASE.replace('x IN', 'lower(x) IN')} END), lambda x: x IS NOT NULL) AS roles FROM s) SELECT id AS page_id, path, coalesce(roles[1], 'unknown') AS role FROM r",
     "package_owner": f"WITH {PATHS}, dirs AS (SELECT id, path, {PARENT.format('path')} AS dir FROM paths), pk AS (SELECT DISTINCT dir AS dir FROM dirs UNION SELECT DISTINCT regexp_extract(path, '^[^/]*') FROM paths UNION SELECT ''), m AS (SELECT d.id, d.path, p.dir AS owner, row_number() OVER (PARTITION BY d.id ORDER BY length(p.dir) DESC) AS k FROM dirs d JOIN pk p ON p.dir = '' OR d.dir = p.dir OR starts_with(d.dir, p.dir || '/')) SELECT id AS page_id, path, 'pkg:' || owner AS pkg FROM m WHERE k = 1",
+    "reverse_pairs": f"WITH {EDGES} SELECT dst AS file, src AS importer FROM edges",
+    "union_graphs": f"WITH {EDGES}, {FILE_EDGES.replace('edges AS', 'file_edges AS')} SELECT src, count(*) AS n, min(dst) AS least FROM (SELECT * FROM edges UNION ALL SELECT * FROM file_edges) GROUP BY src",
+    "delete_refusals": f"WITH {EDGES}, pairs AS (SELECT DISTINCT dst AS file, src AS importer FROM edges JOIN supplier ON dst = 's' || s_suppkey WHERE src <> dst), k AS (SELECT *, CAST(substr(importer, 2) AS INT) AS part FROM pairs) SELECT file, importer, CASE WHEN part % 3 = 0 THEN 3 END AS line FROM k WHERE part % 3 <> 0 OR contains('import s' || part % 7, file)",
+    "inferred_roles": f"WITH {PART_ROLES} SELECT p_partkey, by_deps, by_name, inferred, resolved FROM roles",
+    "top_suffixes": f"WITH {PATHS}, n AS (SELECT {PARENT.format('path')} AS dir, {NAME.format('path')} AS name FROM paths), h AS (SELECT dir, {SUFFIX.format('name')} AS suffix, count(*) AS n FROM n GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY n DESC, suffix) AS k FROM h) SELECT dir, string_agg(suffix || '×' || n, ', ' ORDER BY k) AS top FROM k WHERE k <= 5 GROUP BY dir",
+    "architecture": f"WITH {PATHS}, n AS (SELECT {PARENT.format('path')} AS dir, {NAME.format('path')} AS name FROM paths), h AS (SELECT dir, {SUFFIX.format('name')} AS suffix, count(*) AS n FROM n GROUP BY ALL), own AS (SELECT dir, CAST(sum(n) AS BIGINT) AS files, count(*) AS n_kinds FROM h GROUP BY dir), ch AS (SELECT dir AS child, {PARENT.format('dir')} AS dir, suffix FROM h WHERE dir <> ''), m AS (SELECT dir, count(DISTINCT child) AS module_count FROM ch GROUP BY dir HAVING count(DISTINCT child) >= 2), k AS (SELECT dir, suffix, count(*) AS n FROM ch GROUP BY ALL), t AS (SELECT dir, module_count FROM k JOIN m USING (dir) WHERE n >= ceil(module_count / 2.0) GROUP BY ALL HAVING count(*) >= 2) SELECT dir, coalesce(files, 0) AS files, CAST(coalesce(n_kinds, 0) AS INT) AS n_kinds, coalesce(module_count, 0) AS module_count FROM own FULL JOIN t USING (dir)",
+    "enclosing_anchor": "WITH p AS (SELECT o_orderkey AS file, CAST(o_orderkey % 20 AS INT) AS line FROM orders), nodes AS (SELECT l_orderkey AS file, l_orderkey || '#' || l_linenumber AS node_id, l_linenumber AS ord, l_linenumber * 2 AS s, l_linenumber * 2 + CAST(trunc(l_quantity) AS INT) AS e FROM lineitem), held AS (SELECT file, node_id, ord, s, e, e - s AS span FROM nodes UNION ALL SELECT a.file, a.node_id, a.ord, b.s - 2, b.s - 1, a.e - a.s FROM nodes a JOIN nodes b USING (node_id)), best AS (SELECT p.file, p.line, arg_min(node_id, (span, ord)) AS node_id FROM (SELECT DISTINCT * FROM p) p JOIN held h ON h.file = p.file AND h.s <= p.line AND p.line <= h.e GROUP BY ALL) SELECT p.file, p.line, node_id FROM p LEFT JOIN best USING (file, line)",
+    "decode_ranges": "WITH i AS (SELECT CAST(l_linenumber AS INT) AS a, CAST(l_suppkey % 9 AS INT) AS b, CAST(l_partkey % 11 AS INT) AS c, CAST(l_orderkey % 13 AS INT) AS d, 2 + l_orderkey % 3 AS size FROM lineitem) SELECT CASE WHEN size > 2 THEN a + 1 END AS start_line, CASE size WHEN 3 THEN a + 1 WHEN 4 THEN c + 1 END AS end_line, CASE WHEN size > 2 THEN b END AS start_char, CASE size WHEN 3 THEN c WHEN 4 THEN d END AS end_char, count(*) AS n FROM i GROUP BY ALL",
+    "leading_comments": "WITH r AS (SELECT l_orderkey AS file, l_linenumber AS line, max(l_returnflag) <> 'R' AS c FROM lineitem GROUP BY ALL), above AS (SELECT n.file, n.line, max(o.line) AS stop FROM r n LEFT JOIN (SELECT a.file, a.line FROM r a WHERE NOT c UNION ALL SELECT a.file, a.line - 1 FROM r a LEFT JOIN r b ON b.file = a.file AND b.line = a.line - 1 WHERE b.file IS NULL) o ON o.file = n.file AND o.line < n.line WHERE NOT n.c GROUP BY ALL) SELECT n.file, n.line AS node_ord, coalesce(stop, 0) + 1 AS start_line, n.line - 1 AS end_line FROM above n JOIN r ON r.file = n.file AND r.line = n.line - 1 AND r.c",
+    "one_per_line": "SELECT l_suppkey AS file, l_linenumber AS line, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY ALL",
+    "fnv1a_hash": "SELECT c_custkey, lower(lpad(to_hex(CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(c_name)), '..'), lambda p: CAST(('0x' || p) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS UBIGINT)), 16, '0')) AS hash FROM customer",
     "reverse_edges": f"WITH {EDGES} SELECT dst AS file, count(DISTINCT src) AS n_importers, string_agg(DISTINCT src, ',' ORDER BY src) AS importers FROM edges GROUP BY dst",
     "transitive_closure": f"WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), c(start, file, hop) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region UNION SELECT c.start, e.src, c.hop + 1 FROM c JOIN e ON e.dst = c.file WHERE c.hop < 10) SELECT start, file, min(hop) AS hop FROM c WHERE start <> file GROUP BY ALL",
     "expand_hops": f"WITH {EDGES}, {SEEDS}, w AS (SELECT src AS a, dst AS b, 0 AS way FROM edges UNION ALL SELECT dst, src, 1 FROM edges), h1 AS (SELECT s.query_id, w.b AS file, min(way) AS way FROM seeds s JOIN w ON s.file = w.a WHERE w.b <> s.file GROUP BY ALL), h2 AS (SELECT h.query_id, w.b AS file, min(w.way) AS way FROM h1 h JOIN w ON h.file = w.a WHERE w.b <> 'n' || h.query_id AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.query_id = h.query_id AND x.file = w.b) GROUP BY ALL) SELECT query_id, file, hop, CASE WHEN way = 0 THEN 'imported-by-seed' ELSE 'imports-seed' END AS reason FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2)",
@@ -176,7 +197,7 @@ SQL: dict[str, str] = {
     "diag_anchor": "WITH ops AS (SELECT l_orderkey AS file, l_linenumber AS idx, l_linenumber * 2 AS s, l_linenumber * 2 + CAST(trunc(l_quantity) AS INT) AS e FROM lineitem), d AS (SELECT o_orderkey AS file, CAST(o_orderkey % 30 AS INT) AS line FROM orders) SELECT d.file, d.line, arg_max(ops.idx, ops.s) AS op_index FROM d LEFT JOIN ops ON ops.file = d.file AND ops.s <= d.line AND d.line <= ops.e GROUP BY ALL",
     "edit_order": "WITH o AS (SELECT l_orderkey AS batch, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx, l_returnflag <> 'R' AS st, 'f' || l_suppkey % 3 AS file, CAST(trunc(l_quantity) AS INT) AS start_line FROM lineitem), g AS (SELECT *, sum(CASE WHEN st AND coalesce(pst, false) THEN 0 ELSE 1 END) OVER (PARTITION BY batch ORDER BY idx) AS run FROM (SELECT *, lag(st) OVER (PARTITION BY batch ORDER BY idx) AS pst FROM o)) SELECT batch, idx, row_number() OVER (PARTITION BY batch ORDER BY run, CASE WHEN st THEN file END NULLS FIRST, CASE WHEN st THEN -start_line END NULLS FIRST, idx) AS position FROM g",
     "unique_occurrence": "SELECT doc_id, CAST((length(coalesce(text, '')) - length(replace(coalesce(text, ''), needle, ''))) // length(needle) AS BIGINT) AS n FROM (SELECT doc_id, text, split_part(coalesce(text, ''), ' ', 1) || ' ' AS needle FROM documents)",
-    "eval_mrr": f"WITH {RANKED_DOCS}, rel AS (SELECT q.query_id, d.id FROM q JOIN docs d ON contains(d.text, substr(q.text, 1, 60))), cases AS (SELECT r.query_id, min(bm.rank) AS rank FROM rel r LEFT JOIN bm ON bm.query_id = r.query_id AND bm.id = r.id GROUP BY r.query_id) SELECT count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM cases",
+    "eval_mrr": f"WITH {RANKED_DOCS}, rel AS (SELECT q.query_id, d.id FROM q JOIN docs d ON contains(d.text, q.text)), cases AS (SELECT r.query_id, min(bm.rank) AS rank FROM rel r LEFT JOIN bm ON bm.query_id = r.query_id AND bm.id = r.id GROUP BY r.query_id) SELECT count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM cases",
     "jaccard_overlap": f"WITH {vectors(20, 'q.vec_id % 20 = 0')}, a AS (SELECT query_id, id FROM vec), b AS (SELECT e.vec_id AS query_id, o.vec_id AS id FROM embeddings e JOIN embeddings o ON o.label = e.label WHERE e.vec_id % 20 = 0), j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.id IS NOT NULL AND b.id IS NOT NULL AS shared FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id) SELECT query_id, round(avg(CASE WHEN shared THEN 1.0 ELSE 0.0 END), 6) AS jaccard FROM j GROUP BY query_id",
     "bench_medians": "WITH m AS (SELECT event_type AS task, CASE WHEN user_id % 2 = 0 THEN 'baseline' ELSE 'tool' END AS arm, median(value) AS median_value, count(*) AS n FROM events GROUP BY ALL) SELECT m.task, m.arm, round(m.median_value, 6) AS median_value, m.n, round(100 * (m.median_value - b.median_value) / b.median_value, 4) AS percent FROM m JOIN m b ON b.task = m.task AND b.arm = 'baseline'",
     "read_before_edit": "SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn, role) AS sequence, coalesce(min(CASE WHEN role = 'user' THEN turn END) < min(CASE WHEN role = 'assistant' THEN turn END), false) AS asked_first, CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_answers FROM conversations GROUP BY conv_id",

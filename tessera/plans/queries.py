@@ -97,7 +97,7 @@ def first_per_group_rank(c: Corpus) -> DataFrame:
 
 @query
 def symbol_match(c: Corpus) -> DataFrame:
-    part = c.table("part").where("p_size = 7")
+    part = c.table("part").where("p_partkey % 20 = 0")
     asked = part.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("where is "), "p_name", F.lit(" and the old "), "p_type").alias("text"))
     return rank.symbol_matches(c.symbols, asked)
 
@@ -110,7 +110,7 @@ def _hybrid(c: Corpus) -> dict[str, DataFrame]:
 @query
 def rrf_fusion(c: Corpus) -> DataFrame:
     h = _hybrid(c)
-    near = dense.rank_vectors(h["vectors"], h["queries"], 80)
+    near = dense.rank_vectors_bulk(h["vectors"], h["queries"], 80)
     by_vector = rank.first_per_group(near.join(h["chunks"].select(F.col("row_id").alias("id"), "file"), "id"), "file")
     by_words = rank.first_per_group(lexical.bm25(h["docs"], h["queries"], 80).join(h["docs"].select("id", "file"), "id"), "file")
     named = rank.symbol_matches(h["symbols"], h["queries"])
@@ -143,8 +143,8 @@ def find_symbols_substring(c: Corpus) -> DataFrame:
 @query
 def eval_mrr(c: Corpus) -> DataFrame:
     ranked = lexical.bm25(c.documents, c.queries, 10).select(F.col("query_id").alias("case_id"), F.col("id").alias("file"), "rank")
-    passages = c.queries.select(F.col("query_id").alias("case_id"), F.substring("text", 1, 60).alias("passage"))
-    holding = c.documents.join(passages, F.contains("text", F.col("passage"))).select("case_id", F.col("id").alias("file"))
+    passages = c.queries.select(F.col("query_id").alias("case_id"), F.col("text").alias("passage"))
+    holding = retrieve.holders(c.documents, passages).select("case_id", F.col("id").alias("file"))
     return retrieve.summary(retrieve.evaluate(ranked, holding, 5))
 
 
@@ -165,6 +165,21 @@ def layer_multipliers(c: Corpus) -> DataFrame:
     return weight.layer_multipliers(asked).withColumn("mult", F.round("mult", 6))
 
 
+def _roles(c: Corpus) -> DataFrame:
+    p = c.table("part")
+    pick = lambda column, values: F.element_at(F.array(*values), (column + 1).cast("int"))
+    names = [F.lit(x) for x in ("services/api", "web-ui", "Common-types", "infra", "Mobile", "sql", "docs", "lambda")]
+    deps = [F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in (["zod", "react-dom"], ["express"], [], ["@nestjs/core", "expo"], ["vue-router", "left-pad"])]
+    stored = [F.lit(x).cast("string") for x in ("unknown", None, "backend", "docs")]
+    return p.select("p_partkey", pick(F.col("p_partkey") % 8, names).alias("name"), F.concat(F.lit("x/"), F.lower("p_name")).alias("dir"), pick(F.col("p_size") % 5, deps).alias("deps"), pick(F.col("p_partkey") % 4, stored).alias("role"))
+
+
+@query
+def inferred_roles(c: Corpus) -> DataFrame:
+    inferred = weight.infer_role(F.col("name"), F.col("dir"), F.col("deps"))
+    return _roles(c).select("p_partkey", weight.role_from_dependencies(F.col("deps")).alias("by_deps"), weight.role_from_name(F.col("name"), F.col("dir")).alias("by_name"), inferred.alias("inferred"), weight.resolve_role(F.col("role"), inferred).alias("resolved"))
+
+
 @query
 def path_roles(c: Corpus) -> DataFrame:
     return c.paths.select(F.col("id").alias("page_id"), "path", path_role(F.col("path")).alias("role"))
@@ -187,6 +202,25 @@ def reverse_edges(c: Corpus) -> DataFrame:
     return r.select("file", F.size("importers").cast("long").alias("n_importers"), F.array_join("importers", ",").alias("importers"))
 
 
+@query
+def reverse_pairs(c: Corpus) -> DataFrame:
+    return graph.reverse_pairs(c.edges)
+
+
+@query
+def union_graphs(c: Corpus) -> DataFrame:
+    both = graph.union_graphs(c.spark, [c.edges, c.file_edges, c.edges.limit(0)])
+    return both.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("least"))
+
+
+@query
+def delete_refusals(c: Corpus) -> DataFrame:
+    suppliers = c.table("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("file"))
+    staged = c.table("part").where("p_partkey % 3 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file"))
+    held = F.concat(F.lit("import s"), (F.substring("file", 2, 20).cast("int") % 7).cast("string"))
+    return graph.delete_refusals(c.edges, suppliers, staged, staged.select("file", F.lit(3).alias("line"), held.alias("text")))
+
+
 @query
 def transitive_closure(c: Corpus) -> DataFrame:
     starts = c.table("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start"))
@@ -249,6 +283,16 @@ def suffix_histogram(c: Corpus) -> DataFrame:
     return arch.suffix_histogram(c.paths)
 
 
+@query
+def top_suffixes(c: Corpus) -> DataFrame:
+    return arch.top_suffixes(arch.suffix_histogram(c.paths))
+
+
+@query
+def architecture(c: Corpus) -> DataFrame:
+    return arch.architecture(c.paths).select("dir", "files", F.size("suffixes").alias("n_kinds"), "module_count")
+
+
 @query
 def dir_templates(c: Corpus) -> DataFrame:
     folder = F.concat("p_brand", F.lit("/"), F.regexp_replace("p_type", "[^A-Za-z]+", "-"))
@@ -277,6 +321,27 @@ def innermost_interval(c: Corpus) -> DataFrame:
     return intervals.innermost(points, c.nodes)
 
 
+@query
+def enclosing_anchor(c: Corpus) -> DataFrame:
+    points = c.table("orders").select(F.col("o_orderkey").alias("file"), (F.col("o_orderkey") % 20).cast("int").alias("line"))
+    docs = c.nodes.select("node_id", (F.col("start_line") - 2).alias("start_line"), (F.col("start_line") - 1).alias("end_line"))
+    return intervals.enclosing_anchor(points, c.nodes, docs)
+
+
+@query
+def decode_ranges(c: Corpus) -> DataFrame:
+    l = c.table("lineitem")  # noqa: E741
+    ints = F.slice(F.array(F.col("l_linenumber").cast("int"), (F.col("l_suppkey") % 9).cast("int"), (F.col("l_partkey") % 11).cast("int"), (F.col("l_orderkey") % 13).cast("int")), F.lit(1), (2 + F.col("l_orderkey") % 3).cast("int"))
+    found = l.select(intervals.decode_range(ints).alias("r"))
+    return found.groupBy("r.start_line", "r.end_line", "r.start_char", "r.end_char").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def leading_comments(c: Corpus) -> DataFrame:
+    l = c.table("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).agg((F.max("l_returnflag") != "R").alias("is_comment"))
+    return intervals.leading_comments(l.withColumn("node_ord", F.when(~F.col("is_comment"), F.col("line"))))
+
+
 @query
 def containment(c: Corpus) -> DataFrame:
     kept = intervals.without_inner(c.nodes)
@@ -329,6 +394,12 @@ def diag_anchor(c: Corpus) -> DataFrame:
     return diff.anchor(diags, ops).select("file", "line", "op_index")
 
 
+@query
+def one_per_line(c: Corpus) -> DataFrame:
+    diags = c.table("lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_linenumber").alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return diff.one_per_line(diags)
+
+
 @query
 def edit_order(c: Corpus) -> DataFrame:
     l = c.table("lineitem")  # noqa: E741
@@ -366,7 +437,7 @@ def read_before_edit(c: Corpus) -> DataFrame:
 
 @query
 def fnv1a_hash(c: Corpus) -> DataFrame:
-    return c.table("region").select("r_regionkey", fnv1a(F.col("r_name")).alias("hash"))
+    return c.table("customer").select("c_custkey", fnv1a(F.col("c_name")).alias("hash"))
 
 
 @query
