@@ -119,7 +119,17 @@ class Service:
             ops = [Op.of(a) for a in actions]
         except EditError as e:
             return {"ok": False, "feedback": str(e), "gated": False}
-        return commit_by_language(self.root, ops, self.base, self.importers)
+        out = commit_by_language(self.root, ops, self.base, self.importers)
+        if out.get("ok"):
+            self.reindex()
+        return out
+
+    def reindex(self) -> None:
+        """Bring the index, if there is one, up to date with what was committed."""
+        from tessera.sources import snapshot
+
+        if snapshot.current(folder_of(self.root, self.config)) is not None:
+            index(self.root)
 
     def inspect(self, args: dict[str, Any]) -> list[dict[str, Any]]:
         from tessera.operators import lookup

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.config import Config
 from tessera.functions.text import clip, lines, tokens
+from tessera.plans.scratch import kept
 
 #: Scores are rounded before they are ranked, so that the order of a sum's
 #: terms never decides a tie.
@@ -51,15 +52,22 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 def bm25_scores(docs: DataFrame, queries: DataFrame, config: Config = Config(), id_col: str = "id", text_col: str = "text", query_col: str = "query_id") -> DataFrame:
     """query_id, id, score of every document that holds a term of the query.
 
-    Only tokens that some query has are counted: the terms of the queries meet
-    the exploded tokens before any shuffle. N and the mean length are over all
-    documents, also those left without a posting.
+    Texts are cut into tokens once: only tokens that some query has are counted,
+    and one mark per document, which carries its length; the terms of the queries meet
+    the exploded tokens before any shuffle, and the counts are written, as they
+    are read for N, the mean length (over all documents, also those left without
+    a posting), the document frequencies and the scores.
     """
     terms = query_terms(queries, query_col)
-    wanted = terms.select("term").distinct()
-    hits = tokenised(docs, id_col, text_col).select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term")
-    posted = hits.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = doc_stats(docs, id_col, text_col)
+    wanted = terms.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    marked = tokenised(docs, id_col, text_col).select("id", "dl", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    counted = kept(marked.join(wanted, "term").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")), "counted")
+    marks, posted = counted.where("term = ''"), counted.where("term != ''")
+    stats = marks.agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    return _scored(posted, terms, stats, config)
+
+
+def _scored(posted: DataFrame, terms: DataFrame, stats: DataFrame, config: Config) -> DataFrame:
     with_df = posted.join(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
     scored = with_df.join(terms, "term").crossJoin(stats)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -68,6 +76,24 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, config: Config = Config(),
     return scored.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
 
 
+#: Terms of all queries up to which they are a filter that reaches the scan.
+FEW_TERMS = 1000
+
+
+def bm25_posted(stored: DataFrame, docs: DataFrame, queries: DataFrame, k: int | None = None, config: Config = Config(), id_col: str = "id", query_col: str = "query_id") -> DataFrame:
+    """As ``bm25``, from stored postings (term, id, tf, dl) of all ``docs``: no
+    text is read. Postings are sorted by term, so the terms of a request, as
+    long as they are few, read a few row groups; more of them are joined."""
+    terms = query_terms(queries, query_col)
+    asked = terms.select("term").distinct()
+    few = [r["term"] for r in asked.limit(FEW_TERMS + 1).collect()]
+    mine = stored.where(F.col("term").isin(few)) if len(few) <= FEW_TERMS else stored.join(asked, "term")
+    posted = mine.select("term", F.col(id_col).alias("id"), "tf", "dl")
+    total = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_tokens"))  # a document's length is the sum of its counts
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(total).select("n_docs", F.when(F.col("n_docs") > 0, F.col("_tokens") / F.col("n_docs")).alias("avgdl"))
+    return top_ranked(_scored(posted, terms, stats, config), k or config.search_rows)
+
+
 def top_ranked(scores: DataFrame, k: int, id_col: str = "id") -> DataFrame:
     """The ``k`` best rows of each query with their rank: score, then id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))

@@ -120,7 +120,7 @@ def search(index, task: str, config: Config = Config(), dims: int = 64) -> DataF
     asked = spark.createDataFrame([(0, task)], "query_id int, text string")
     vector = dense.embed(asked, "query_id", "text", dims).select(F.col("row_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     docs = index.chunks.select(F.col("row_id").alias("id"), "file", "pkg", "text")
-    return retrieve.retrieve(docs, index.chunks, index.vectors, index.symbols, index.packages, index.edges, asked.join(vector, "query_id"), config)
+    return retrieve.retrieve(docs, index.chunks, index.vectors, index.symbols, index.packages, index.edges, asked.join(vector, "query_id"), config, index.postings)
 
 
 def inspect(index, mode: str, config: Config = Config(), **args) -> DataFrame:

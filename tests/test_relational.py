@@ -317,3 +317,34 @@ def test_longest_prefix_is_exclusive(spark):
     assert [tuple(r) for r in imports.psr4_edges(uses, roots, tree).collect()] == [("x.php", "src/Kernel.php")]
     named = imports.qualified_names(files(spark, {"src/Domain/User.php": "", "domain/A/B.php": ""}), roots, ".php", "\\")
     assert {r["path"]: r["name"] for r in named.collect()} == {"src/Domain/User.php": "App\\Domain\\User", "domain/A/B.php": "App\\Domain\\A\\B"}
+
+
+def test_ranking_from_stored_postings(spark):
+    from tessera.operators import lexical
+
+    texts = ["alpha beta gamma", "beta beta delta", "", None, "gamma alphaBeta", "the of and", "delta " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = spark.createDataFrame([(1, "beta gamma"), (2, "delta of the"), (3, "nothing")], "query_id int, text string")
+    want = sorted(map(tuple, lexical.bm25(docs, asked, 5).select("query_id", "id", "score", "rank").collect()))
+    stored = lexical.postings(docs)
+    assert want and sorted(map(tuple, lexical.bm25_posted(stored, docs, asked, 5).select("query_id", "id", "score", "rank").collect())) == want
+
+
+def test_passages_are_found_whole(spark):
+    from tessera.operators import retrieve
+
+    texts = ["x the quick brown fox y", "xthe quick brown foxy", "the quick  brown fox", "quick", "", None]
+    passages = ["the quick brown fox", "quick", "ick br", "", "absent words here now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "case_id long, passage string")
+    want = {(c, d) for c, p in enumerate(passages) for d, t in enumerate(texts) if t is not None and p in t}
+    got = [tuple(r) for r in retrieve.holders(docs, asked).select("case_id", "id").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_fnv1a_of_any_bytes(spark):
+    from tessera.functions.hashing import fnv1a, fnv1a_bytes
+
+    texts = ["", "a", "foobar", "déjà 日本 🙂", "x" * 500, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fnv1a("t").alias("h"))
+    assert {r["i"]: r["h"] for r in frame.collect()} == {i: None if t is None else fnv1a_bytes(t.encode()) for i, t in enumerate(texts)}
