@@ -83,13 +83,21 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 8, how: str = "left") -> DataFrame:
-    """Join ``rows`` with ``table``, which has one row per ``key``, so that a key
-    holding a large share of ``rows`` is dealt over ``salts`` tasks.
-
-    ``spread`` names a column of ``rows`` whose hash picks the salt; ``table``
-    is repeated once per salt, so it should be narrow.
+def spread_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which ``written`` gave: one row
+    per ``key``, whose ``weight`` says how many of ``rows`` may have it.
+
+    Keys with more than a thousandth of all weight, of which there are fewer
+    than a thousand whatever the input, are broadcast; their rows go on by the
+    hash of the column ``spread`` and so to all tasks alike. The others meet
+    their keys in a shuffle, where none is large. Nothing is repeated.
     """
-    salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(repeated, [key, "_salt"], how).drop("_salt")
+    others = [c for c in table.columns if c not in (key, weight)]
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * 1000 > F.lit(total)
+    few = F.broadcast(table.where(hot).select(F.col(key), F.struct(*others).alias("_hot")))
+    rest = table.where(~hot).select(F.col(key), F.lit(0).alias("_salt"), F.struct(*others).alias("_own"))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("int")
+    met = rows.join(few, key, "left").withColumn("_salt", salt).join(rest, [key, "_salt"], "left")
+    found = F.coalesce("_hot", "_own")
+    return met.select(*rows.columns, *(found[c].alias(c) for c in others))

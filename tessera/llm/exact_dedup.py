@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.llm.common import ASCII_SPACE, salted_lookup, text_or_empty, written
+from tessera.llm.common import ASCII_SPACE, spread_lookup, text_or_empty, written
 
 SALTS = 16
 #: 2**64 as a decimal: room for every id below a length.
@@ -67,15 +67,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = text_or_empty(text_col)
     found = combine(docs, id_col, text_col, salts).select(
-        F.struct("text_sha256", F.char_length("content").alias("length")).alias("key"), "group_size", "points", "keep_id"
+        F.struct("text_sha256", F.char_length("content").alias("length")).alias("key"), "group_size", "points", "keep_id", F.col("group_size").alias("weight")
     )
+    found = written(found, "groups")
     members = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.struct(F.sha2(normalised(text), 256).alias("text_sha256"), F.char_length(normalised(text)).alias("length")).alias("key"),
         F.char_length(text).alias("own_points"),
     )
     members = members.groupBy("doc_id", "key", "own_points").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    joined = salted_lookup(members, found, "key", "doc_id")
+    joined = spread_lookup(members, found, "key", "weight", "doc_id")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own_points") == F.col("points"))
     once = F.transform(F.sequence(F.lit(1), F.col("times")), lambda k: stays & (k == 1))
     return joined.select("doc_id", "keep_id", "group_size", F.explode(once).alias("kept"), F.col("key.text_sha256").alias("text_sha256"))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import drop_written, free_shuffles, remove_path, salted_lookup, scratch_path, text_or_empty, written
+from tessera.llm.common import drop_written, free_shuffles, remove_path, scratch_path, spread_lookup, text_or_empty, written
 
 SEED = 42
 RADIUS = 3
@@ -237,6 +237,19 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
+def least_ids(rows: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``rows`` (doc_id, ``node``) with ``least``, the smallest doc_id of their
+    node's component; ``roots`` as ``components`` gives them. Neither a node nor
+    a component is too large (see ``spread_lookup``)."""
+    own = rows.groupBy(node).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs"))
+    nodes = own.join(roots, own[node] == roots["node"], "left").select(own[node], "first", "docs", F.coalesce("root", own[node]).alias("root"))
+    nodes = written(nodes, "nodes")
+    least = written(nodes.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("nodes")), "roots")
+    table = written(spread_lookup(nodes.select(node, "docs", "root"), least, "root", "nodes", node).select(node, "docs", "least"), "least")
+    drop_written(nodes, least)
+    return spread_lookup(rows, table, node, "docs", "doc_id")
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 lower-case hex
     digits), component_id (the smallest doc_id reachable over links of
@@ -250,13 +263,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col:
     path = scratch_path(spark, "fingerprints")
     fingerprints(docs, shingle, id_col, text_col).write.parquet(path)
     rows = spark.read.schema("doc_id long, fp long").parquet(path)
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(distinct.select("fp"), radius))
-    grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = salted_lookup(grouped.select("fp", "root"), roots, "root", "fp").select("fp", "component_id")
-    out = salted_lookup(rows, table, "fp", "doc_id")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = least_ids(rows, components(links(rows.select("fp").distinct(), radius)), "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 #: Shingles that may be ranked as common, and shingles of a task counted at once.
@@ -600,8 +608,8 @@ def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
 def fingerprint_pairs(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: keys that connect all sets whose fingerprints link, by covering
     masks (see ``links``); each fingerprint stands for its smallest key."""
-    heads = written(sets.groupBy("fp").agg(F.min("key").alias("head")), "fingerprints")
-    same = salted_lookup(sets.select("fp", "key").distinct(), heads, "fp", "key").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    heads = written(sets.groupBy("fp").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("sets")), "fingerprints")
+    same = spread_lookup(sets.select("fp", "key").distinct(), heads, "fp", "sets", "key").select(F.col("head").alias("a"), F.col("key").alias("b"))
     near = links(heads.select("fp"), radius).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("_b")), "b")
     return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).where("a != b")
 
@@ -661,8 +669,8 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     Jaccard similarity of ``similarity`` or more, computed in full. They connect
     every such pair, though they aren't all of them."""
     sets = written(shingle_sets(docs, shingle, id_col, text_col), "shingle-sets")
-    heads = sets.groupBy("key").agg(F.min("doc_id").alias("head"))
-    same = salted_lookup(sets.select("key", "doc_id"), heads, "key", "doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    heads = written(sets.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("docs")), "heads")
+    same = spread_lookup(sets.select("key", "doc_id"), heads, "key", "docs", "doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     ids = similar_links(sets, similarity).join(heads.select(F.col("key").alias("a"), F.col("head").alias("_a")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("_b")), "b")
     return same.unionByName(ids.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))).where("a < b").distinct()
 
@@ -676,9 +684,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     free_shuffles(docs.sparkSession)  # of what came before
     sets = written(shingle_sets(docs, shingle, id_col, text_col), "shingle-sets")
     keys = written(sets.select("doc_id", "place", "key"), "shingle-keys")
-    roots = components(similar_links(sets, similarity)).withColumnRenamed("node", "key")
+    roots = components(similar_links(sets, similarity))
     drop_written(sets)
-    rows = salted_lookup(keys, roots, "key", "doc_id").select("doc_id", "place", F.coalesce("root", "key").alias("root"))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = salted_lookup(rows, least, "root", "doc_id").where("doc_id > least").select(F.col("doc_id").alias("_gone"), F.col("place").alias("_place")).distinct()
+    gone = least_ids(keys, roots, "key").where("doc_id > least").select(F.col("doc_id").alias("_gone"), F.col("place").alias("_place")).distinct()
     return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_place")), "left_anti")

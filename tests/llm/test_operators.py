@@ -719,3 +719,20 @@ def test_half_a_batch_does_not_count(spark, tmp_path):
     fs.delete(mark, False)  # as if the driver had died before the commit
     fs.create(mark, True).close()  # or over it
     assert store.totals().count() == 0 and store.apply(1, frame) and store.totals().first()["n_tokens"] == 3
+
+
+def test_spread_lookup(spark):
+    """A key of half of the rows, many small ones, absent and null values."""
+    from collections import Counter
+
+    from tessera.llm.common import spread_lookup, written
+
+    keys = [7] * 3000 + list(range(100, 3100)) + [None, 5]
+    rows = spark.createDataFrame(list(enumerate(keys)), "doc_id long, key long")
+    known = {k: n for k, n in Counter(keys).items() if k not in (None, 5)}
+    values = {k: None if k % 10 == 1 else k * 2 for k in known}
+    table = written(spark.createDataFrame([(k, n, values[k]) for k, n in known.items()], "key long, weight long, value long"), "lookup")
+    got = spread_lookup(rows, table, "key", "weight", "doc_id")
+    assert got.columns == ["doc_id", "key", "value"]
+    assert sorted(map(tuple, got.collect())) == [(i, k, values.get(k)) for i, k in enumerate(keys)]
+    assert spread_lookup(rows, written(table.limit(0), "lookup"), "key", "weight", "doc_id").where("value is null").count() == len(keys)
