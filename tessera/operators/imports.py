@@ -159,6 +159,57 @@ def _use_paths(text: str) -> list[str]:
     return [q for p in parts if p for q in _use_paths(text[:at] + p)]
 
 
+def php_uses(text: str) -> list[str]:
+    """Qualified names of the ``use`` statements of a PHP text, groups expanded
+    and aliases left out. In bodies, ``use`` means traits and captured variables."""
+    from tessera.operators.structure import masked_spans
+
+    code, at = [], 0
+    for a, b, _ in masked_spans("php", text):
+        code.append(text[at:a] + " " * (b - a))
+        at = b
+    out: list[str] = []
+    foreign, namespaces, statement = 0, 0, ""  # open braces of bodies and of namespaces
+    for part in re.findall(r"[{};]|[^{};]+", "".join(code) + text[at:]):
+        statement = re.sub(r"^\s*<\?(?:php\b|=)?", "", statement)
+        group = re.match(r"\s*use\b(?!\s*\()", statement) and not foreign
+        if part == "{" and not group:
+            namespaces, foreign = (namespaces + 1, 0) if not foreign and re.match(r"\s*namespace\b", statement) else (namespaces, foreign + 1)
+            statement = ""
+        elif part == "}" and not group:
+            namespaces, foreign = (namespaces, foreign - 1) if foreign else (max(namespaces - 1, 0), 0)
+            statement = ""
+        elif part == ";":
+            if group:
+                out += _use_names(statement)
+            statement = ""
+        else:
+            statement += part
+    return out
+
+
+def _use_names(statement: str) -> list[str]:
+    """Names of ``use [function|const] A\\B, C as D`` or ``use A\\{B, C\\D}``."""
+    body = re.sub(r"^\s*use\s+(?:(?:function|const)\s+)?", "", statement)
+    prefix, brace, inner = body.partition("{")
+    names = (inner.rpartition("}")[0] if brace else prefix).split(",")
+    bare = [re.sub(r"^\s*(?:(?:function|const)\s+)?([\w\\]*).*", r"\1", n, flags=re.S).strip("\\") for n in names]
+    head = prefix.strip().strip("\\") if brace else ""
+    return [f"{head}\\{n}" if head else n for n in bare if n]
+
+
+def php_names(files: DataFrame) -> DataFrame:
+    """src, name of the names that PHP files (path, text) use."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for rows in batches:
+            yield pd.DataFrame([(p, n) for p, t in zip(rows["path"], rows["text"]) for n in php_uses(t or "")], columns=["src", "name"])
+
+    return files.select("path", "text").mapInPandas(run, "src string, name string")
+
+
 PARSERS = {"python": python_modules, "java": java_modules, "rust": rust_modules}
 
 
@@ -176,10 +227,24 @@ def parsed_imports(files: DataFrame, language: str) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, "src string, ord int, candidates array<string>")
 
 
-def import_graph(files: DataFrame, language: str) -> DataFrame:
-    """src, dst of one language's files (path, text). Languages without a
-    resolver have no edges, rather than guessed ones."""
+#: Languages that share a resolver.
+GROUPS = [["ts", "tsx", "js"], ["python"], ["java"], ["rust"], ["php"]]
+
+
+def all_edges(files: DataFrame, languages: set[str], namespaces: DataFrame | None = None) -> DataFrame:
+    """src, dst of all files (path, lang, text), each in its language's graph."""
+    from tessera.operators.graph import union_graphs
+
+    return union_graphs(files.sparkSession, [import_graph(files.where(F.col("lang").isin(group)), group[0], namespaces) for group in GROUPS if languages & set(group)]).distinct()
+
+
+def import_graph(files: DataFrame, language: str, namespaces: DataFrame | None = None) -> DataFrame:
+    """src, dst of one language's files (path, text). ``namespaces`` (prefix,
+    root, ord) are those of PHP. Languages without a resolver have no edges,
+    rather than guessed ones."""
     spark = files.sparkSession
+    if language == "php" and namespaces is not None:
+        return psr4_edges(php_names(files), namespaces, files)
     if language in ("ts", "tsx", "js"):
         wanted = script_imports(files)
     elif language in PARSERS:
@@ -198,22 +263,28 @@ def import_graph(files: DataFrame, language: str) -> DataFrame:
 def longest_prefix(names: DataFrame, prefixes: DataFrame, separator: str) -> DataFrame:
     """name, prefix, root: the longest prefix that fits each name, and no other:
     a shorter one is not tried when nothing is found below it. ``names`` (name)
-    meet ``prefixes`` (prefix, root) by equality on their leading segments."""
+    meet ``prefixes`` (prefix, and more) by equality on their leading segments;
+    the empty prefix fits every name."""
     parts = F.split("name", re.escape(separator))
-    cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, 1, k), separator).alias("prefix")))
+    cuts = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, 1, k), separator).alias("prefix")))
     each = names.select("name", F.explode(cuts).alias("c")).select("name", "c.k", "c.prefix")
     hit = each.join(prefixes, "prefix")
     best = hit.groupBy("name").agg(F.max("k").alias("k"))
-    return hit.join(best, ["name", "k"]).select("name", "prefix", "root")
+    return hit.join(best, ["name", "k"]).select("name", *prefixes.columns)
 
 
 def psr4_edges(uses: DataFrame, prefixes: DataFrame, files: DataFrame) -> DataFrame:
-    """src, dst of qualified names used (src, name): the longest prefix's roots,
-    and the file that the rest of the name gives in one of them."""
-    owner = longest_prefix(uses.select("name").distinct(), prefixes, "\\")
-    rest = F.replace(F.substring("name", F.char_length("prefix") + 2, F.char_length("name")), F.lit("\\"), F.lit("/"))
-    paths = owner.select("name", F.concat(F.when(F.col("root") != "", F.concat(F.regexp_replace("root", "/$", ""), F.lit("/"))).otherwise(""), rest, F.lit(".php")).alias("dst"))
-    return uses.join(paths, "name").join(files.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst").where("src != dst").distinct()
+    """src, dst of qualified names used (src, name): of the longest prefix
+    (prefix, root, ord) above the name, the first root that has the file that
+    the rest of the name gives. A prefix itself names no class."""
+    cut = F.locate("\\", F.reverse("name"))
+    space = F.when(cut > 0, F.substring("name", F.lit(1), F.char_length("name") - cut)).otherwise("")
+    each = uses.select("src", "name", space.alias("space"))
+    owner = longest_prefix(each.select(F.col("space").alias("name")).distinct(), prefixes, "\\").withColumnRenamed("name", "space")
+    rest = F.substring("name", F.when(F.col("prefix") == "", 1).otherwise(F.char_length("prefix") + 2), F.char_length("name"))
+    path = F.concat(F.when(F.col("root") != "", F.concat(F.regexp_replace("root", "/$", ""), F.lit("/"))).otherwise(""), F.replace(rest, F.lit("\\"), F.lit("/")), F.lit(".php"))
+    found = each.join(owner, "space").select("src", "name", "ord", path.alias("dst")).join(files.select(F.col("path").alias("dst")), "dst", "left_semi")
+    return found.groupBy("src", "name").agg(F.min_by("dst", "ord").alias("dst")).select("src", "dst").where("src != dst").distinct()
 
 
 def qualified_names(files: DataFrame, prefixes: DataFrame, extension: str, separator: str) -> DataFrame:

@@ -139,11 +139,30 @@ def inspect(index, mode: str, config: Config = Config(), **args) -> DataFrame:
     raise ValueError(f"unknown mode {mode!r}; one of {', '.join(MODES)}")
 
 
-def detailed(manifest: DataFrame, files: DataFrame, entries: int = 4, most_lines: int = 100) -> DataFrame:
+def detailed(manifest: DataFrame, files: DataFrame, level: str = "full", entries: int = 4, most_lines: int = 100) -> DataFrame:
     """query_id, file, detail, text: code of the first entries, cut to a number
-    of lines; of the others a pointer."""
+    of lines; of the others a pointer. At level "outline" bodies are left out, at
+    "full" only those of files that the query itself did not match; "pointers"
+    has no code."""
+    if level not in ("pointers", "outline", "full"):
+        raise ValueError(f"unknown level {level!r}; one of pointers, outline, full")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "file")
-    ranked = manifest.withColumn("_k", F.row_number().over(order)).join(files.select(F.col("path").alias("file"), F.col("text").alias("_t")), "file", "left")
-    code = slice_lines(F.col("_t"), F.lit(1), F.lit(most_lines))
-    full = F.col("_k") <= entries
-    return ranked.select("query_id", "file", F.when(full, "full").otherwise("pointer").alias("detail"), F.when(full, code).alias("text"))
+    whole = (F.col("reason") == "query-match") if level == "full" else F.lit(False)
+    kind = F.when(F.col("_k") > (0 if level == "pointers" else entries), "pointer").when(whole, "full").otherwise("outline")
+    ranked = manifest.withColumn("_k", F.row_number().over(order)).select("query_id", "file", kind.alias("detail"))
+    pointers = ranked.where("detail = 'pointer'").withColumn("text", F.lit(None).cast("string"))
+    texts = files.select(F.col("path").alias("file"), F.col("text").alias("_t"))
+    code = slice_lines(F.col("text"), F.lit(1), F.lit(most_lines)).alias("text")
+    shown = _outlined(ranked.where("detail != 'pointer'").join(texts, "file", "left").select("query_id", "file", "detail", F.col("_t").alias("text")))
+    return shown.select("query_id", "file", "detail", code).unionByName(pointers)
+
+
+def _outlined(rows: DataFrame) -> DataFrame:
+    from tessera.operators.structure import outline
+
+    def run(batches):
+        for batch in batches:
+            batch["text"] = [outline(p, t) if d == "outline" and t is not None else t for p, d, t in zip(batch["file"], batch["detail"], batch["text"])]
+            yield batch
+
+    return rows.mapInPandas(run, rows.schema)

@@ -198,6 +198,7 @@ SQL: dict[str, str] = {
     "edit_order": "WITH o AS (SELECT l_orderkey AS batch, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx, l_returnflag <> 'R' AS st, 'f' || l_suppkey % 3 AS file, CAST(trunc(l_quantity) AS INT) AS start_line FROM lineitem), g AS (SELECT *, sum(CASE WHEN st AND coalesce(pst, false) THEN 0 ELSE 1 END) OVER (PARTITION BY batch ORDER BY idx) AS run FROM (SELECT *, lag(st) OVER (PARTITION BY batch ORDER BY idx) AS pst FROM o)) SELECT batch, idx, row_number() OVER (PARTITION BY batch ORDER BY run, CASE WHEN st THEN file END NULLS FIRST, CASE WHEN st THEN -start_line END NULLS FIRST, idx) AS position FROM g",
     "unique_occurrence": "SELECT doc_id, CAST((length(coalesce(text, '')) - length(replace(coalesce(text, ''), needle, ''))) // length(needle) AS BIGINT) AS n FROM (SELECT doc_id, text, split_part(coalesce(text, ''), ' ', 1) || ' ' AS needle FROM documents)",
     "eval_mrr": f"WITH {RANKED_DOCS}, rel AS (SELECT q.query_id, d.id FROM q JOIN docs d ON contains(d.text, q.text)), cases AS (SELECT r.query_id, min(bm.rank) AS rank FROM rel r LEFT JOIN bm ON bm.query_id = r.query_id AND bm.id = r.id GROUP BY r.query_id) SELECT count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM cases",
+    "hits_by_language": f"WITH {DOCS}, {Q}, english AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents WHERE lang = 'en'), {bm25('docs', 'q', 5, 'multi')}, {bm25('english', 'q', 5, 'single')}, rel AS (SELECT q.query_id, d.doc_id AS id, d.lang FROM q JOIN documents d ON contains(coalesce(d.text, ''), q.text)), ranked AS (SELECT 'multi' AS arm, query_id, id FROM multi UNION ALL SELECT 'single', query_id, id FROM single), cases AS (SELECT DISTINCT r.lang, r.query_id, a.arm FROM rel r, (VALUES ('multi'), ('single')) a(arm)), hit AS (SELECT DISTINCT r.lang, k.arm, r.query_id FROM rel r JOIN ranked k ON k.query_id = r.query_id AND k.id = r.id) SELECT c.lang, c.arm, count(h.arm) AS hits, count(*) AS n FROM cases c LEFT JOIN hit h ON h.lang = c.lang AND h.arm = c.arm AND h.query_id = c.query_id GROUP BY c.lang, c.arm",
     "jaccard_overlap": f"WITH {vectors(20, 'q.vec_id % 20 = 0')}, a AS (SELECT query_id, id FROM vec), b AS (SELECT e.vec_id AS query_id, o.vec_id AS id FROM embeddings e JOIN embeddings o ON o.label = e.label WHERE e.vec_id % 20 = 0), j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.id IS NOT NULL AND b.id IS NOT NULL AS shared FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id) SELECT query_id, round(avg(CASE WHEN shared THEN 1.0 ELSE 0.0 END), 6) AS jaccard FROM j GROUP BY query_id",
     "bench_medians": "WITH m AS (SELECT event_type AS task, CASE WHEN user_id % 2 = 0 THEN 'baseline' ELSE 'tool' END AS arm, median(value) AS median_value, count(*) AS n FROM events GROUP BY ALL) SELECT m.task, m.arm, round(m.median_value, 6) AS median_value, m.n, round(100 * (m.median_value - b.median_value) / b.median_value, 4) AS percent FROM m JOIN m b ON b.task = m.task AND b.arm = 'baseline'",
     "read_before_edit": "SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn, role) AS sequence, coalesce(min(CASE WHEN role = 'user' THEN turn END) < min(CASE WHEN role = 'assistant' THEN turn END), false) AS asked_first, CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_answers FROM conversations GROUP BY conv_id",

@@ -148,6 +148,18 @@ def eval_mrr(c: Corpus) -> DataFrame:
     return retrieve.summary(retrieve.evaluate(ranked, holding, 5))
 
 
+@query
+def hits_by_language(c: Corpus) -> DataFrame:
+    """Of the cases of each language, how many have an expected document among
+    the first five, when all documents are ranked and when only English ones are."""
+    docs, asked = c.documents, c.queries
+    passages = asked.select(F.col("query_id").alias("case_id"), F.col("text").alias("passage"))
+    expected = retrieve.holders(docs, passages).select("case_id", F.col("id").alias("file")).join(docs.select(F.col("id").alias("file"), "lang"), "file")
+    arms = {"multi": docs, "single": docs.where("lang = 'en'")}
+    ranked = [lexical.bm25(d, asked, 5).select(F.lit(arm).alias("arm"), F.col("query_id").alias("case_id"), F.col("id").alias("file"), "rank") for arm, d in arms.items()]
+    return retrieve.hits_by(ranked[0].unionByName(ranked[1]), expected, "lang", list(arms), 5)
+
+
 @query
 def jaccard_overlap(c: Corpus) -> DataFrame:
     near = dense.rank_vectors(c.vectors, c.vector_queries, 20).select("query_id", "id")
@@ -443,7 +455,7 @@ def fnv1a_hash(c: Corpus) -> DataFrame:
 @query
 def reanchor_greedy(c: Corpus) -> DataFrame:
     old = c.nodes.select(F.col("file").cast("string").alias("file"), F.concat(F.lit("n"), (F.col("ord") % 2).cast("string")).alias("name"), "node_id", "start_line")
-    new = c.nodes.where("ord > 1").select(F.col("file").cast("string").alias("file"), F.concat(F.lit("n"), (F.col("ord") % 2).cast("string")).alias("name"), (F.col("start_line") + 1).alias("start_line"), (F.col("end_line") + 1).alias("end_line"))
+    new = c.nodes.select(F.col("file").cast("string").alias("file"), F.when(F.col("ord") == 1, "moved").otherwise(F.concat(F.lit("n"), (F.col("ord") % 2).cast("string"))).alias("name"), (F.col("start_line") + 1).alias("start_line"), (F.col("end_line") + 1).alias("end_line"))
     return intervals.reanchor(old, new)
 
 

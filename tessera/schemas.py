@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 
 FILES = "path string, pkg string, lang string, mtime_ms double, hash string, text string"
 PACKAGES = "name string, dir string, role string, deps array<string>"
@@ -12,6 +12,7 @@ SYMBOLS = "id string, name string, kind string, file string, pkg string, start_l
 CHUNKS = "row_id long, id string, name string, kind string, file string, pkg string, start_line int, end_line int, text string"
 POSTINGS = "term string, id string, file string, tf long, dl long"
 EDGES = "src string, dst string"
+NAMESPACES = "prefix string, root string, ord int"
 DIAGS = "file string, code long, message string, line int, ord int"
 META = "version int, created_ms string, updated_ms string, model string, dims int, root string, monorepo boolean"
 FINGERPRINT = "path string, hash string"

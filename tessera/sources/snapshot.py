@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.config import Config
-from tessera.operators import dense, graph, imports, lexical, structure, weight
-from tessera.schemas import SCHEMA_VERSION
+from tessera.operators import dense, imports, lexical, structure, weight
+from tessera.schemas import NAMESPACES, SCHEMA_VERSION
 from tessera.sources import discover, workspace
 
-TABLES = ["files", "packages", "nodes", "chunks", "symbols", "vectors", "postings", "edges", "meta"]
+TABLES = ["files", "packages", "nodes", "chunks", "symbols", "vectors", "postings", "edges", "namespaces", "meta"]
 #: Seconds after which a lock is taken to be left over.
 STALE = 15 * 60
 
@@ -31,14 +31,15 @@ class Index:
         raise AttributeError(name)
 
 
-def build(spark: SparkSession, files: DataFrame, packages: DataFrame, root: str = "", config: Config = Config(), dims: int = 64) -> Index:
+def build(spark: SparkSession, files: DataFrame, packages: DataFrame, root: str = "", config: Config = Config(), dims: int = 64, namespaces: DataFrame | None = None) -> Index:
     """All tables from files (path, lang, mtime_ms, text)."""
+    if namespaces is None:
+        namespaces = spark.createDataFrame([], NAMESPACES)
     owned = weight.package_owner(files, packages).withColumn("pkg", F.coalesce("pkg", F.lit("root")))
     nodes = structure.extract(owned)
     items = structure.node_items(nodes, owned)
     chunks = items.withColumn("row_id", F.xxhash64("id", "start_line", "file"))
-    languages = [r["lang"] for r in files.select("lang").distinct().collect()]  # a dozen at most
-    edges = graph.union_graphs(spark, [imports.import_graph(owned.where(F.col("lang").isin(group)), group[0]) for group in (["ts", "tsx", "js"], ["python"], ["java"], ["rust"]) if set(group) & set(languages)])
+    languages = {r["lang"] for r in files.select("lang").distinct().collect()}  # a dozen at most
     now = str(int(time.time() * 1000))
     several = packages.limit(2).count() > 1
     meta = spark.createDataFrame([(SCHEMA_VERSION, now, now, config.embedding_model, dims, root, several)], "version int, created_ms string, updated_ms string, model string, dims int, root string, monorepo boolean")
@@ -50,7 +51,8 @@ def build(spark: SparkSession, files: DataFrame, packages: DataFrame, root: str
         "symbols": items.select("id", "name", "kind", "file", "pkg", "start_line", "end_line"),
         "vectors": dense.embed(chunks, "row_id", "text", dims),
         "postings": lexical.postings(chunks, "row_id", "text", ("file",)).withColumnRenamed("id", "row_id"),
-        "edges": edges.distinct(),
+        "edges": imports.all_edges(owned, languages, namespaces),
+        "namespaces": namespaces,
         "meta": meta,
     })
 
@@ -62,7 +64,7 @@ def build_local(spark: SparkSession, root: str, config: Config | None = None) ->
         languages = discover.present_languages(root)
         config = Config().merged({"include": list(discover.include_for(languages))}) if languages else Config()
     packages, _ = workspace.detect(root)
-    return build(spark, discover.local_files(spark, root, config), workspace.package_table(spark, packages), root, config)
+    return build(spark, discover.local_files(spark, root, config), workspace.package_table(spark, packages), root, config, namespaces=spark.createDataFrame(workspace.namespaces(root), NAMESPACES))
 
 
 @contextmanager
@@ -158,7 +160,8 @@ def update(spark: SparkSession, index: Index, changed: DataFrame, deleted: DataF
     gone = index.chunks.join(touched.withColumnRenamed("path", "file"), "file", "left_semi").select("row_id")
     out["vectors"] = index.vectors.join(gone, "row_id", "left_anti").unionByName(fresh.vectors)
     whole = out["files"]
-    out["edges"] = graph.union_graphs(spark, [imports.import_graph(whole.where(F.col("lang").isin(group)), group[0]) for group in (["ts", "tsx", "js"], ["python"], ["java"], ["rust"])]).distinct()
+    out["edges"] = imports.all_edges(whole, {x for group in imports.GROUPS for x in group}, index.namespaces)
+    out["namespaces"] = index.namespaces
     out["packages"] = index.packages
     out["meta"] = index.meta.withColumn("updated_ms", F.lit(str(int(time.time() * 1000))))
     return Index(out)

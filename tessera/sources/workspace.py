@@ -86,3 +86,22 @@ def package_table(spark: SparkSession, packages: list[Package]) -> DataFrame:
     raw = spark.createDataFrame([(p.name, p.dir, p.deps, p.ts_types, p.ts_lib) for p in packages], "name string, dir string, deps array<string>, ts_types array<string>, ts_lib array<string>")
     role = infer_role(F.col("name"), F.col("dir"), F.col("deps"), F.col("ts_types"), F.col("ts_lib"))
     return raw.select("name", "dir", F.nullif(role, F.lit("unknown")).alias("role"), "deps")
+
+
+def namespaces(root: str) -> list[tuple[str, str, int]]:
+    """(prefix, root, ord): the directories that ``composer.json`` gives to PHP
+    namespaces, in order; of a prefix given twice the first entry counts. None
+    without that file or if it can't be read."""
+    try:
+        with open(os.path.join(root, "composer.json"), encoding="utf-8") as f:
+            data = json.load(f)
+    except (OSError, ValueError):
+        return []
+    found: dict[str, list[str]] = {}
+    for key in ("autoload", "autoload-dev"):
+        block = data.get(key) if isinstance(data, dict) else None
+        entries = block.get("psr-4") if isinstance(block, dict) else None
+        for prefix, dirs in (entries.items() if isinstance(entries, dict) else ()):
+            if isinstance(dirs, (str, list)):
+                found.setdefault(prefix.rstrip("\\"), [d for d in ([dirs] if isinstance(dirs, str) else dirs) if isinstance(d, str)])
+    return [(prefix, re.sub(r"^(?:\./)+", "", d).rstrip("/"), k) for prefix, dirs in found.items() for k, d in enumerate(dirs)]

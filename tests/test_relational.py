@@ -312,13 +312,35 @@ def test_imports(spark):
 
 def test_longest_prefix_is_exclusive(spark):
     uses = spark.createDataFrame([("x.php", "App\\Domain\\User"), ("x.php", "App\\Kernel")], "src string, name string")
-    roots = spark.createDataFrame([("App", "src/"), ("App\\Domain", "domain/")], "prefix string, root string")
+    roots = spark.createDataFrame([("App", "src/", 0), ("App\\Domain", "domain/", 0)], "prefix string, root string, ord int")
     tree = files(spark, {"src/Domain/User.php": "", "src/Kernel.php": "", "x.php": ""})
     assert [tuple(r) for r in imports.psr4_edges(uses, roots, tree).collect()] == [("x.php", "src/Kernel.php")]
     named = imports.qualified_names(files(spark, {"src/Domain/User.php": "", "domain/A/B.php": ""}), roots, ".php", "\\")
     assert {r["path"]: r["name"] for r in named.collect()} == {"src/Domain/User.php": "App\\Domain\\User", "domain/A/B.php": "App\\Domain\\A\\B"}
 
 
+def test_php_graph(spark):
+    text = "<?php\nnamespace App;\n// use App\\Not;\nuse App\\Domain\\User as U, App\\Kernel;\nuse App\\{ Http\\Call, function App\\run };\nuse function App\\go;\nuse Plain;\nclass A { use SomeTrait; function f() { return function () use ($x) { return 'use App\\Str;'; }; } }\nuse \\App\\Last;\n"
+    assert imports.php_uses(text) == ["App\\Domain\\User", "App\\Kernel", "App\\Http\\Call", "App\\App\\run", "App\\go", "Plain", "App\\Last"]
+    assert imports.php_uses("<?php namespace A { use B\\C; function f() {} } namespace D { use E; }") == ["B\\C", "E"]
+    assert imports.php_uses("") == [] and imports.php_uses("<?php use ;") == []
+    roots = spark.createDataFrame([("App", "src", 0), ("App", "lib", 1), ("App\\Domain", "domain", 0), ("", "any", 0), ("App\\Kernel", "kernel", 0)], "prefix string, root string, ord int")
+    tree = {"src/a.php": text, "src/Kernel.php": "", "lib/Kernel.php": "", "lib/Last.php": "", "src/Domain/User.php": "", "any/Plain.php": "", "any/App/go.php": "", "src/Http/Call.php": ""}
+    got = imports.import_graph(files(spark, tree), "php", roots)
+    # the longest prefix owns User and has no such file; a prefix itself names no class; the first root wins
+    assert sorted(r["dst"] for r in got.collect()) == ["any/Plain.php", "lib/Last.php", "src/Http/Call.php", "src/Kernel.php"]
+    assert imports.import_graph(files(spark, tree), "php").count() == 0
+
+
+def test_hits_by_group(spark):
+    from tessera.operators import retrieve
+
+    ranked = spark.createDataFrame([("a", 1, "x", 1), ("a", 2, "y", 6), ("b", 2, "y", 5), ("b", 1, "q", 1)], "arm string, case_id int, file string, rank int")
+    expected = spark.createDataFrame([(1, "x", "py"), (1, "z", "py"), (2, "y", "rs")], "case_id int, file string, lang string")
+    got = retrieve.hits_by(ranked, expected, "lang", ["a", "b"], 5)
+    assert sorted(map(tuple, got.collect())) == [("py", "a", 1, 1), ("py", "b", 0, 1), ("rs", "a", 0, 1), ("rs", "b", 1, 1)]
+
+
 def test_ranking_from_stored_postings(spark):
     from tessera.operators import lexical
 

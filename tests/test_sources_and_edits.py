@@ -290,3 +290,88 @@ def test_rest_imports_without_the_subpackage():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['tessera.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'bm25_batch' in e.queries() and not any(q.startswith('op1_') for q in e.queries()); print(len(e.oracle_sql()))"
     assert int(subprocess.run(["python", "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()[-1]) > 40
+
+
+def number(n):
+    out = b""
+    while n > 0x7F:
+        out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+    return out + bytes([n])
+
+
+def message(*parts):
+    """Fields (number, value) as protobuf: numbers, texts, bytes, lists of numbers."""
+    out = b""
+    for field, value in parts:
+        if isinstance(value, int):
+            out += number(field << 3) + number(value)
+        else:
+            body = value.encode() if isinstance(value, str) else b"".join(map(number, value)) if isinstance(value, list) else value
+            out += number(field << 3 | 2) + number(len(body)) + body
+    return out
+
+
+def test_symbol_artifact(spark, tmp_path):
+    from tessera.sources import artifact
+
+    add, run_ = "scip-x npm . . math/add().", "scip-x npm a  b . app/`Run it`#main()."
+    one = message((1, "math.ts"), (2, message((1, [0, 9, 12]), (2, add), (3, 1), (7, [0, 0, 2, 1]))), (4, "ts"), (2, message((2, add), (3, 1), (1, [300, 1, 300, 4]))))
+    two = message((2, message((1, [2, 2, 5]), (2, add))), (2, message((1, 1), (1, 2), (1, 3), (2, run_), (3, 1))), (2, message((2, "local 0"), (1, [0, 0, 1]))), (1, "app.ts"))
+    (tmp_path / "index.scip").write_bytes(message((1, b""), (2, one), (2, two), (2, message((1, "empty.ts")))))
+    got = artifact.read(spark, str(tmp_path / "index.scip"))
+    rows = [(r["file"], r["ord"], r["qualified"], r["suffix"], r["is_def"], r["name_range"], r["range"]) for r in got.orderBy("doc", "ord").collect()]
+    assert rows[0] == ("math.ts", 0, "add", "method", True, [0, 9, 12], [0, 0, 2, 1]) and rows[1][6] == [300, 1, 300, 4]
+    assert rows[2:] == [("app.ts", 0, "add", "method", False, [2, 2, 5], [2, 2, 5]), ("app.ts", 1, "Run it.main", "method", True, [1, 2, 3], [1, 2, 3]), ("app.ts", 2, None, None, False, [0, 0, 1], [0, 0, 1])]
+    assert [tuple(r) for r in artifact.edges(got).collect()] == [("app.ts", "math.ts")]
+    nodes = {r["node_id"]: (r["start_line"], r["end_line"]) for r in st.symbol_definitions(got).collect()}
+    assert nodes == {"math.ts#add": (1, 3), "math.ts#add~1": (301, 301), "app.ts#Run it.main": (2, 2)}
+    assert artifact.named("scip-x npm . . math/") == ("", "namespace") and artifact.named("scip-x npm . . math/add().(a)")[1] == "parameter" and artifact.named("odd") == (None, None)
+    for wrong in (b"\x12\x7f", b"\x13"):
+        with pytest.raises((ValueError, IndexError)):
+            list(artifact.occurrences(wrong))
+
+
+def test_namespaces(tmp_path):
+    from tessera.sources import workspace
+
+    assert workspace.namespaces(str(tmp_path)) == []
+    (tmp_path / "composer.json").write_text('{"autoload": {"psr-4": {"App\\\\": ["./src/", "lib"], "": "any/"}}, "autoload-dev": {"psr-4": {"App\\\\": "tests", "T\\\\": "tests/", "N": 3}}}')
+    assert workspace.namespaces(str(tmp_path)) == [("App", "src", 0), ("App", "lib", 1), ("", "any", 0), ("T", "tests", 0)]
+    (tmp_path / "composer.json").write_text("{")
+    assert workspace.namespaces(str(tmp_path)) == []
+
+
+def test_command_gate(tmp_path):
+    import sys
+
+    (tmp_path / "a.go").write_text("old bad\n")
+    check = "import pathlib\nfor p in sorted(pathlib.Path('.').rglob('*.go')):\n    for i, row in enumerate(p.read_text().splitlines(), 1):\n        if 'bad' in row: print(f'./{p}:{i}:2: error: bad word')"
+    engine = gate.CommandEngine(str(tmp_path), [sys.executable, "-c", check])
+    base = {"a.go": "old bad\n"}.get
+    assert engine.gated and gate.syntax_gate(base, {"a.go": "x\nold bad\n"}, engine) == []
+    found = gate.syntax_gate(base, {"a.go": "old bad\nnew bad\n"}, engine)
+    assert [(d["file"], d["line"], d["message"]) for d in found] == [("a.go", 2, "bad word")]
+    ops = [Op.of({"action": "replace_in_file", "path": "a.go", "oldText": "old", "newText": "new bad\nbad"})]
+    reply = gate.commit_by_language(str(tmp_path), ops, base, engines={"go": engine})
+    assert not reply["ok"] and reply["gated"] and (tmp_path / "a.go").read_text() == "old bad\n"
+    ops = [Op.of({"action": "replace_in_file", "path": "a.go", "oldText": "old bad", "newText": "good"})]
+    assert gate.commit_by_language(str(tmp_path), ops, base, engines={"go": engine})["gated"] and (tmp_path / "a.go").read_text() == "good\n"
+    with pytest.raises(ValueError):
+        engine.diagnostics({"../x.go": ""})
+    absent = gate.CommandEngine(str(tmp_path), ["no-such-compiler"])
+    assert not absent.gated and absent.diagnostics({"a.go": "f("})[0]["code"] == 3
+    slow = gate.CommandEngine(str(tmp_path), [sys.executable, "-c", "import time; time.sleep(9)"], seconds=0.2)
+    assert slow.diagnostics({"a.go": "x"}) == [] and not slow.gated
+
+
+def test_detail_levels(spark):
+    manifest = spark.createDataFrame([(0, f"f{k}.py", float(9 - k), "query-match" if k % 2 == 0 else "imports-seed") for k in range(6)], "query_id int, file string, score double, reason string")
+    texts = spark.createDataFrame([(f"f{k}.py", f"def f():\n    return {k}\n" + "x\n" * 200) for k in range(6)], "path string, text string")
+    shown = {r["file"]: (r["detail"], r["text"]) for r in lookup.detailed(manifest, texts).collect()}
+    assert [shown[f"f{k}.py"][0] for k in range(6)] == ["full", "outline", "full", "outline", "pointer", "pointer"]
+    assert "return 0" in shown["f0.py"][1] and "return" not in shown["f1.py"][1] and shown["f5.py"][1] is None
+    assert len(shown["f0.py"][1].split("\n")) == 100
+    assert {r["detail"] for r in lookup.detailed(manifest, texts, "outline").collect()} == {"outline", "pointer"}
+    assert {r["detail"] for r in lookup.detailed(manifest, texts, "pointers").collect()} == {"pointer"}
+    with pytest.raises(ValueError):
+        lookup.detailed(manifest, texts, "all")
