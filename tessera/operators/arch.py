@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.config import Config
-from tessera.functions.paths import ancestors, base_name, file_suffix, parent
+from tessera.functions.paths import base_name, file_suffix, parent
 
 
 def suffix_histogram(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -25,20 +25,20 @@ def module_templates(histogram: DataFrame) -> DataFrame:
     return kept.groupBy("dir", "module_count").agg(F.array_sort(F.collect_list("suffix")).alias("template")).where(F.size("template") >= 2)
 
 
-def architecture(files: DataFrame, path_col: str = "path", max_files: int = Config().arch_files) -> DataFrame:
+def architecture(files: DataFrame, path_col: str = "path", max_files: int | None = Config().arch_files) -> DataFrame:
     """dir, files, suffixes (map), template, module_count for every directory
     with files, and every other one above them that is a module template.
 
-    More than ``max_files`` files are refused: the map is for reading.
+    More than ``max_files`` files are refused, as a map of them is not for
+    reading; None takes any number. Files without a path are in no directory:
+    they stand in a row of null ``dir`` under the suffix "".
     """
-    if files.limit(max_files + 1).count() > max_files:
+    if max_files is not None and files.limit(max_files + 1).count() > max_files:
         raise ValueError(f"more than {max_files} files")
     histogram = suffix_histogram(files, path_col)
-    own = histogram.groupBy("dir").agg(F.sum("n").alias("files"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("suffix", "n")))).alias("suffixes"))
-    every = histogram.select(F.explode(ancestors(F.col("dir"))).alias("dir")).distinct()
-    rows = every.join(own, "dir", "left").join(module_templates(histogram), "dir", "left")
-    kept = rows.where("files is not null or template is not null")
-    return kept.select("dir", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("suffixes", F.create_map().cast("map<string,bigint>")).alias("suffixes"), "template", F.coalesce("module_count", F.lit(0)).alias("module_count")).orderBy("dir")
+    own = histogram.groupBy("dir").agg(F.sum("n").alias("files"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("suffix", F.lit("")).alias("suffix"), "n")))).alias("suffixes"))
+    rows = own.join(module_templates(histogram), "dir", "full")
+    return rows.select("dir", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("suffixes", F.create_map().cast("map<string,bigint>")).alias("suffixes"), "template", F.coalesce("module_count", F.lit(0)).alias("module_count")).orderBy("dir")
 
 
 def top_suffixes(histogram: DataFrame, n: int = 5) -> DataFrame:

@@ -302,7 +302,7 @@ def top_suffixes(c: Corpus) -> DataFrame:
 
 @query
 def architecture(c: Corpus) -> DataFrame:
-    return arch.architecture(c.paths).select("dir", "files", F.size("suffixes").alias("n_kinds"), "module_count")
+    return arch.architecture(c.paths, max_files=None).select("dir", "files", F.size("suffixes").alias("n_kinds"), "module_count")
 
 
 @query

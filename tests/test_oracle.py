@@ -43,3 +43,15 @@ def test_same_rows(spark, sf_dir, duck, name):
 def test_every_query_runs_or_has_an_oracle():
     assert set(oracle.SQL) <= set(queries.QUERIES)
     assert set(queries.QUERIES) - set(oracle.SQL) == {"reanchor_greedy", "python_structure", "edit_batch"}
+
+
+def test_architecture_of_many_odd_pages(spark, tmp_path):
+    """More pages than a map for reading shows; empty segments, null urls."""
+    shape = "CASE WHEN id % 1000 = 0 THEN NULL WHEN id % 7 = 0 THEN concat('http://h', id % 9, '.org/a//b', id % 30, '/p.html') ELSE concat('https://h', id % 9, '.org/d', id % 50, '/p', id, '.', id % 4, '?q=1') END"
+    spark.range(20_500).selectExpr("id AS page_id", f"{shape} AS url", "'' AS html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(oracle.SQL["architecture"])
+    names = [d[0] for d in want.description]
+    got = queries.QUERIES["architecture"](spark, str(tmp_path))
+    assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
