@@ -55,3 +55,28 @@ def test_architecture_of_many_odd_pages(spark, tmp_path):
     names = [d[0] for d in want.description]
     got = queries.QUERIES["architecture"](spark, str(tmp_path))
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+
+
+def shuffled(spark, since=0):
+    """The records that stages from number ``since`` on gave to shuffles, and the next number."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    stages = [stages.apply(k) for k in range(stages.size())]
+    return sum(x.shuffleWriteRecords() for x in stages if x.stageId() >= since), max(x.stageId() for x in stages) + 1
+
+
+def test_copies_of_names_meet_copies_of_queries_once(spark, tmp_path):
+    """Many parts of few names: all pairs, but they are no rows of a shuffle."""
+    names = "element_at(array('large ring', 'oldBolt', 'old', 'x-y', 'the large', 'öl ring', '_old', 'ÖÖÖ'), cast(id % 8 + 1 as int))"
+    spark.range(3000).selectExpr("id AS p_partkey", f"{names} AS p_name", "'b' AS p_brand", "if(id % 3 = 0, 'LARGE', 'Bolt x-y ÖL ring ööö') AS p_type", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(oracle.SQL["symbol_match"])
+    names = [d[0] for d in want.description]
+    spark.range(1).count()
+    _, since = shuffled(spark)
+    got = queries.QUERIES["symbol_match"](spark, str(tmp_path))
+    all_rows = got.collect()
+    assert rows(got.columns, all_rows) == rows(names, want.fetchall())
+    assert shuffled(spark, since)[0] < 20_000 < len(all_rows)

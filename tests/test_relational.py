@@ -131,6 +131,15 @@ def test_symbols(spark):
     assert got == {"F": (4, True), "H": (1, False)}
 
 
+def test_symbols_of_shared_names(spark):
+    """Files of one and of several names, ids in more than one row, copies of queries."""
+    rows = [(f"{f}#{n}", n, "var", f, "p", 1, 1) for f, names in {"A": ["Foo"], "B": ["Foo", "fooBar"], "C": ["Foo"], "D": ["zz", "Foo"], "E": ["zz"]}.items() for n in names] + [("C#Foo", "Foo", "var", "C", "p", 2, 2), ("N", None, "var", "N", "p", 1, 1), ("0", "bar", "var", None, "p", 1, 1)]
+    asked = spark.createDataFrame([(1, "a foo here"), (2, "a foo here"), (3, "bar"), (3, "foo"), (4, None), (5, "no match")], "query_id int, text string")
+    got = {(r["query_id"], r["file"]): (r["score"], r["exact"]) for r in rank.symbol_matches(spark.createDataFrame(rows, SYMBOLS), asked).collect()}
+    foo = {"A": (3, True), "B": (3, True), "C": (4, True), "D": (3, True)}
+    assert got == {(q, f): v for q in (1, 2, 3) for f, v in foo.items()} | {(3, None): (3, True)}
+
+
 def test_find_symbols(spark):
     rows = [(f"a#{n}", n, "function", "src/a.ts", "p", 1, 2) for n in ("parseConfig", "parse", "parseConfigFile")]
     frame = spark.createDataFrame(rows, SYMBOLS)
