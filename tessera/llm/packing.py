@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import text_or_empty
+from tessera.llm.wordcodec import tidied
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: Linear and quadratic attention cost of a piece: LINEAR * n + SQUARE * n * n.
@@ -92,7 +93,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from tessera.llm.wordcodec import byte_values, codec, packed
+        from tessera.llm.wordcodec import byte_values, codec, packed, sliced
 
         encoder, end = codec(tokenizer_path), packed([end_id])
         base = TaskContext.get().partitionId() << 32
@@ -118,7 +119,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 cols = list(zip(*rows[k : k + 20_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32()) if n == "ids" else pa.int64()) for c, n in zip(cols, names)], names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, data in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
                 ids = encoder.encode(data) + end
                 held.append((doc, ids, 0, len(ids) // 4))
@@ -129,4 +130,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             yield from flush(True)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)

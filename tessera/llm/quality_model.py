@@ -14,9 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import text_or_empty
+from tessera.llm.wordcodec import tidied
 
-#: Bytes of a passage, and bytes whose features are held at once.
-PASSAGE, CHUNK = 400, 1 << 21
+#: Bytes of a passage, bytes of one text whose features are held at once, and
+#: bytes of several texts (about 100 bytes are needed for each while they are made).
+PASSAGE, CHUNK, HELD = 400, 1 << 21, 1 << 18
 #: Labelled documents learnt from, of each class, at most. The bound only
 #: limits training; every document is scored.
 SAMPLE = 2500
@@ -123,7 +125,7 @@ class Model:
                     over, under, top = over * old + float(weight @ value), under * old + float(weight.sum()), new
                 out.append(float(self.final(np.float64(over / under))))
                 continue
-            if size + len(text) > CHUNK:
+            if size + len(text) > HELD:
                 done()
             held.append(text)
             size += len(text)
@@ -194,8 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from tessera.llm.wordcodec import byte_values
+        from tessera.llm.wordcodec import byte_values, release
 
+        release()
         for batch in batches:
             data = byte_values(batch.column(1))
             for k in range(0, len(data), 200):
@@ -206,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     chosen = F.broadcast(picked[0].union(picked[1]))  # 2 * sample rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(chosen, "doc_id")
-    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, x binary, label int").toArrow().sort_by([("doc_id", "ascending")])
+    got = rows.select("doc_id", "text", "label").mapInArrow(tidied(run), "doc_id long, x binary, label int").toArrow().sort_by([("doc_id", "ascending")])
     bags = [np.frombuffer(v, np.float16).reshape(-1, WIDTH) for v in got["x"].to_pylist()]
     y = np.array(got["label"].to_pylist(), np.float32)
     if len(set(y.tolist())) < 2:
@@ -226,15 +229,16 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from tessera.llm.wordcodec import byte_values
+        from tessera.llm.wordcodec import byte_values, release, sliced
 
-        for batch in batches:
+        release()
+        for batch in sliced(batches):
             data = byte_values(batch.column(1))
             got = model.scores(data) if model else [0.5] * len(data)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, **options) -> DataFrame:
@@ -262,9 +266,10 @@ def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, id_col:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from tessera.llm.wordcodec import byte_values
+        from tessera.llm.wordcodec import byte_values, release, sliced
 
-        for batch in batches:
+        release()
+        for batch in sliced(batches):
             yield batch.filter(pa.array([x >= accept for x in model.scores(byte_values(batch.column(at)))], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import drop_written, free_shuffles, remove_path, scratch_path, spread_lookup, text_or_empty, written
+from tessera.llm.wordcodec import tidied
 
 SEED = 42
 RADIUS = 3
@@ -84,7 +85,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -164,7 +165,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     rows = fps.select("fp", F.explode(tables).alias("x")).select("x.t", "x.bucket", "fp")
     dealt = rows.repartition("t", "bucket").sortWithinPartitions("t", "bucket")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 #: Edges that one task contracts at most; bounds its memory to some 100 MB.
@@ -226,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == before:
             break
         parts, after = -(-sign["n"] // LOCAL_EDGES), scratch_path(spark, "edges")
-        stars = now.coalesce(max(1, parts)).mapInArrow(_contract, "a long, b long")
+        stars = now.coalesce(max(1, parts)).mapInArrow(tidied(_contract), "a long, b long")
         (stars if parts <= 1 else star(star(stars, True), False)).write.parquet(after)
         remove_path(spark, path)
         path, before = after, sign
@@ -307,7 +308,7 @@ def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 
     text = text_or_empty(text_col)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, place long, key long, fp long, hashes array<int>")
+    return rows.mapInArrow(tidied(run), "doc_id long, place long, key long, fp long, hashes array<int>")
 
 
 def common_shingles(sets: DataFrame) -> tuple:
@@ -333,7 +334,7 @@ def common_shingles(sets: DataFrame) -> tuple:
         if count:
             yield flush()
 
-    counts = sets.select("hashes").mapInArrow(run, "hash int, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 2")
+    counts = sets.select("hashes").mapInArrow(tidied(run), "hash int, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 2")
     top = counts.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
     hashes = top["hash"].to_numpy().view(np.uint32)
     order = np.argsort(hashes)
@@ -631,8 +632,8 @@ def similar_links(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     spark = sets.sparkSession
     links = _verified(sets, written(fingerprint_pairs(sets), "near-pairs"), similarity)
-    found = sets.select("key", "hashes").mapInArrow(_prefixes(similarity, common_shingles(sets)), "bucket int, key long, size int, place int, rare byte")
-    shared = written(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, found.schema), "buckets")
+    found = sets.select("key", "hashes").mapInArrow(tidied(_prefixes(similarity, common_shingles(sets))), "bucket int, key long, size int, place int, rare byte")
+    shared = written(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_shared), found.schema), "buckets")
     del found
     free_shuffles(spark)
 
@@ -643,20 +644,20 @@ def similar_links(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket").sortWithinPartitions("bucket")
 
-    pairs = written(dealt(rooted(shared, links)).mapInArrow(_head_pairs(similarity), "a long, b long").distinct(), "near-pairs")
+    pairs = written(dealt(rooted(shared, links)).mapInArrow(tidied(_head_pairs(similarity)), "a long, b long").distinct(), "near-pairs")
     free_shuffles(spark)
     links = links.unionByName(_verified(sets, pairs, similarity))
     rows = rooted(shared, links)
-    apart = written(dealt(rows).mapInArrow(_apart, rows.schema.add("large", "boolean")), "apart")
+    apart = written(dealt(rows).mapInArrow(tidied(_apart), rows.schema.add("large", "boolean")), "apart")
     del rows
     drop_written(shared)
     free_shuffles(spark)
     large = apart.where("large").drop("large")
     own = _own(sets, large.select("key").distinct())
-    sketches = written(own.mapInArrow(_sketched, "key long, sketch binary"), "sketches")
+    sketches = written(own.mapInArrow(tidied(_sketched), "key long, sketch binary"), "sketches")
     drop_written(own)
-    few = dealt(apart.where("not large").drop("large")).mapInArrow(_small_pairs(similarity), "a long, b long")
-    many = dealt(large.join(sketches, "key")).mapInArrow(_large_pairs(similarity), "a long, b long")
+    few = dealt(apart.where("not large").drop("large")).mapInArrow(tidied(_small_pairs(similarity)), "a long, b long")
+    many = dealt(large.join(sketches, "key")).mapInArrow(tidied(_large_pairs(similarity)), "a long, b long")
     pairs = written(few.unionByName(many).distinct(), "near-pairs")
     del few, many, large
     drop_written(apart, sketches)

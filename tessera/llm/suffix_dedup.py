@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm.common import free_shuffles, scratch_path, text_or_empty, written
+from tessera.llm.wordcodec import tidied
 
 SIZE = 100
 #: Rows of a map task that are combined at once.
@@ -264,16 +265,16 @@ def removed_runs(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     rows = _keyed(docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text")), places, "id").select(F.col("key").alias("doc"), "text")
     if places is not None:
         rows = rows.dropDuplicates(["doc"])
-    found = rows.mapInArrow(_found_runs(size), "anchor long, digest long, doc long, start long, n int, kind int")
+    found = rows.mapInArrow(tidied(_found_runs(size)), "anchor long, digest long, doc long, start long, n int, kind int")
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "digest", "doc", "start")
-    marks = written(dealt.mapInArrow(_group_runs, "doc long, start long, n int, grp long, part int, kind int"), "runs")
+    marks = written(dealt.mapInArrow(tidied(_group_runs), "doc long, start long, n int, grp long, part int, kind int"), "runs")
     del found, dealt
     free_shuffles(spark)
     strings = marks.where(F.col("kind") != RUN)
     own = strings.groupBy("doc").agg(F.collect_list(F.struct("grp", "part", "kind", "start", "n")).alias("own"))
-    cut = rows.join(own, "doc").mapInArrow(_contents(size), "grp long, part int, kind int, start long, doc long, content binary")
+    cut = rows.join(own, "doc").mapInArrow(tidied(_contents(size)), "grp long, part int, kind int, start long, doc long, content binary")
     dealt = cut.repartition("grp", "part").sortWithinPartitions("grp", "part")
-    seen = written(dealt.mapInArrow(_compare(size, scratch_path(spark, "transform")), "doc long, start long, n int, kind int, high long, low long"), "windows")
+    seen = written(dealt.mapInArrow(tidied(_compare(size, scratch_path(spark, "transform"))), "doc long, start long, n int, kind int, high long, low long"), "windows")
     del cut, dealt
     free_shuffles(spark)
     order = F.row_number().over(Window.partitionBy("high", "low").orderBy("doc", "start"))
@@ -329,7 +330,7 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_
     rows = _keyed(docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), places, "doc_id")
     runs = removed_runs(docs, size, id_col, text_col, places).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     joined = rows.join(runs, "key", "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(_cut(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidied(_cut(size)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def drop_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,7 +347,7 @@ def drop_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     rows = _keyed(docs.select(*renamed, text_or_empty(text_col).alias("text")), places, f"c{others.index(id_col)}")
     joined = rows.join(runs, "key", "left").drop("key")
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
-    cut = joined.mapInArrow(_cut(size), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = joined.mapInArrow(tidied(_cut(size)), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
     kept = F.expr("try_validate_utf8(cast(kept as string))")
     names = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(others)}
     return cut.select(*(names.get(c, F.coalesce(kept, F.translate(F.expr("make_valid_utf8(cast(kept as string))"), "�", "")).alias(c)) for c in docs.columns))

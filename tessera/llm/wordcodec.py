@@ -10,10 +10,12 @@ the whole text.
 from __future__ import annotations
 
 import base64
+import ctypes
 import json
 import re
 import string
 import struct
+from collections.abc import Callable, Iterator
 
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
@@ -218,6 +220,37 @@ def release() -> None:
             pieces.clear()
 
 
+def tidy() -> None:
+    """Give back what this worker has freed: Arrow's pool and the C library keep
+    it, and a worker that waits for its next task counts like any other."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not in this C library
+        return
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function on a task's Arrow batches, tidying up when it ends."""
+
+    def run_and_tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return run_and_tidy
+
+
+def sliced(batches: Iterator, rows: int = 500) -> Iterator:
+    """The batches in slices of a few rows, so that few texts are held as bytes at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def byte_values(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null is empty."""
     import pyarrow as pa

@@ -89,3 +89,35 @@ def test_operators_on_nasty_rows(spark, sf_dir):
 
         totals = token_rollup.maintained_totals(frame, f"file://{tempfile.mkdtemp()}/s", q.PATTERNS).agg({"n_docs": "sum"}).first()[0] or 0
         assert totals == frame.select("doc_id").distinct().where("doc_id is not null").count()
+
+
+def test_scores_hold_little_memory():
+    """Features of many texts are made for a few at a time; the scores don't depend on how many."""
+    import tracemalloc
+
+    from tessera.llm import quality_model as qm
+
+    rng = np.random.default_rng(1)
+    texts = [b" ".join(b"%d" % x for x in rng.integers(0, 9999, 400)) for _ in range(1000)]
+    x, first = qm.passage_features(texts[:40])
+    model = qm.train(x, first, np.arange(40, dtype=np.float32) % 2, 0.5)
+    tracemalloc.start()
+    got = model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert np.allclose(got, [model.scores([t])[0] for t in texts], atol=1e-5)
+
+
+def test_workers_give_memory_back():
+    """The tables of a codec are empty while documents are scored, and what ends tidies up."""
+    from tessera.llm import wordcodec
+
+    ended = []
+    kept = wordcodec.tidy
+    wordcodec.tidy = lambda: ended.append(1)
+    try:
+        assert list(wordcodec.tidied(lambda batches: (2 * x for x in batches))(iter([1, 2]))) == [2, 4] and ended == [1]
+    finally:
+        wordcodec.tidy = kept
+    wordcodec.tidy()
