@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from tessera.operators import rank
 from tessera.plans import oracle, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -80,3 +81,18 @@ def test_copies_of_names_meet_copies_of_queries_once(spark, tmp_path):
     all_rows = got.collect()
     assert rows(got.columns, all_rows) == rows(names, want.fetchall())
     assert shuffled(spark, since)[0] < 20_000 < len(all_rows)
+
+
+def test_files_are_not_moved_with_each_pair(spark, tmp_path, monkeypatch):
+    """Two names of many files, many different queries, few lots: all pairs, but
+    no list of files goes through a shuffle for each of them."""
+    monkeypatch.setattr(rank, "LOTS", 1, raising=False)
+    spark.range(4000).selectExpr("id AS p_partkey", "if(id % 2 = 0, 'large ring', 'old ring') AS p_name", "'b' AS p_brand", "concat('ring ', id) AS p_type", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    _, since = shuffled(spark)
+    assert queries.QUERIES["symbol_match"](spark, str(tmp_path)).selectExpr("count(file)", "count(DISTINCT file)").first() == (200 * 4000, 4000)
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    stages = [stages.apply(k) for k in range(stages.size())]
+    moved = sum(x.shuffleWriteBytes() for x in stages if x.stageId() >= since)
+    assert moved < 1_500_000
